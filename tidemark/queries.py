@@ -1,0 +1,31 @@
+"""Registered queries of the core and their SQL."""
+
+from __future__ import annotations
+
+from tidemark.operators.snapshots import snapshot_changes
+from tidemark.sources.tables import table
+
+FLAGSHIP = "p1_found"
+
+QUERIES = {
+    "p1_found": lambda spark, d: snapshot_changes(table(spark, d, "file_snapshots")),
+}
+
+SQL = {
+    "p1_found": r"""
+WITH s AS (
+  SELECT snapshot_no, vault_name, regexp_replace(replace(file_path, '\', '/'), '^(\./)+', '') AS file_path,
+         coalesce(is_deleted, false) AS gone, regexp_replace(lower(file_hash), '[^\p{L}\p{N}]+', '', 'g') AS hash, updated_at
+  FROM file_snapshots WHERE file_path IS NOT NULL AND snapshot_no IS NOT NULL
+), l AS (
+  SELECT *, row_number() OVER (PARTITION BY snapshot_no, vault_name, file_path ORDER BY updated_at DESC NULLS LAST, gone DESC, hash DESC NULLS LAST) AS rn FROM s
+), p AS (SELECT * FROM l WHERE rn = 1 AND NOT gone),
+n AS (SELECT snapshot_no, lag(snapshot_no) OVER (ORDER BY snapshot_no) AS before FROM (SELECT DISTINCT snapshot_no FROM file_snapshots WHERE snapshot_no IS NOT NULL)),
+c AS (SELECT p.*, n.before FROM p JOIN n USING (snapshot_no) WHERE n.before IS NOT NULL),
+o AS (SELECT n.snapshot_no, p.vault_name, p.file_path, p.hash FROM p JOIN n ON p.snapshot_no = n.before)
+SELECT coalesce(c.snapshot_no, o.snapshot_no) AS snapshot_no, coalesce(c.vault_name, o.vault_name) AS vault_name, coalesce(c.file_path, o.file_path) AS file_path,
+       CASE WHEN o.snapshot_no IS NULL THEN 'added' WHEN c.snapshot_no IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM c FULL JOIN o ON c.snapshot_no = o.snapshot_no AND c.vault_name IS NOT DISTINCT FROM o.vault_name AND c.file_path = o.file_path
+WHERE o.snapshot_no IS NULL OR c.snapshot_no IS NULL OR c.hash <> o.hash
+""",
+}
