@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
-from tidemark.llm import copies, near
+from pyspark.sql import functions as F
+
+from tidemark.llm import copies, language, near, neighbours, packing, split, tokens
 from tidemark.sources.tables import table
 
 QUERIES = {
     "p2_found": lambda spark, d: near.similar_pairs(table(spark, d, "chunks")),
     "p2_classes": lambda spark, d: near.similarity_classes(table(spark, d, "chunks")),
+    "p3_pieces": lambda spark, d: split.oversized_pieces(table(spark, d, "chunks"), table(spark, d, "chunk_limits")),
+    "p3_found": lambda spark, d: split.oversized_pieces(table(spark, d, "chunks"), table(spark, d, "chunk_limits")).select("chunk_id").distinct(),
+    "p4_found": lambda spark, d: neighbours.similar_pairs(table(spark, d, "vectors")),
+    "p4_neighbours": lambda spark, d: neighbours.nearest(table(spark, d, "vectors"), share=0.3, asked=F.col("chunk_id") % 20 == 0),
     "p5_found": lambda spark, d: copies.duplicate_copies(table(spark, d, "files"), table(spark, d, "chunks")),
     "p5_collapsed": lambda spark, d: copies.collapsed(table(spark, d, "files"), table(spark, d, "chunks")),
+    "p6_ids": lambda spark, d: tokens.token_ids(table(spark, d, "documents")),
+    "p6_round_trip": lambda spark, d: tokens.round_trip(table(spark, d, "documents")),
+    "p7_packed": lambda spark, d: packing.packed(table(spark, d, "documents")),
+    "p7_fill": lambda spark, d: packing.fill(packing.packed(table(spark, d, "documents"))),
+    "p8_found": lambda spark, d: language.mislabelled(table(spark, d, "documents"), table(spark, d, "lang_samples")),
+    "p8_segments": lambda spark, d: language.segments(table(spark, d, "documents"), table(spark, d, "lang_samples")),
 }
 
 _CANONICAL = r"""
@@ -25,15 +37,25 @@ WITH f AS (
   FROM c WHERE NOT s.d AND s.t IS NOT NULL
 ), parts AS (
   SELECT kind, id, plain, shaped, CASE WHEN shaped THEN list_transform(
-    list_filter(regexp_split_to_array(raw, '[\r\n;|]+'), x -> contains(x, ':') OR contains(x, '=')),
-    x -> [regexp_replace(lower(regexp_extract(x, '^([^:=]*)', 1)), '[^\p{L}\p{N}]+', '', 'g'), regexp_replace(lower(regexp_extract(x, '[:=]([^:=]*)$', 1)), '[^\p{L}\p{N}]+', '', 'g')]) END AS fields
+    list_filter(regexp_split_to_array(raw, '[\r\n;|]+'), lambda x: contains(x, ':') OR contains(x, '=')),
+    lambda x: [regexp_replace(lower(regexp_extract(x, '^([^:=]*)', 1)), '[^\p{L}\p{N}]+', '', 'g'), regexp_replace(lower(regexp_extract(x, '[:=]([^:=]*)$', 1)), '[^\p{L}\p{N}]+', '', 'g')]) END AS fields
   FROM live WHERE plain <> ''
 ), keyed AS (
-  SELECT kind, id, CASE WHEN shaped AND len(list_filter(fields, x -> x[1] = '' OR x[2] = '')) = 0
-    THEN array_to_string(list_sort(list_transform(fields, x -> x[1] || '=' || x[2])), chr(10)) ELSE plain END AS k FROM parts
+  SELECT kind, id, CASE WHEN shaped AND len(list_filter(fields, lambda x: x[1] = '' OR x[2] = '')) = 0
+    THEN array_to_string(list_sort(list_transform(fields, lambda x: x[1] || '=' || x[2])), chr(10)) ELSE plain END AS k FROM parts
 )"""
 
 SQL = {
+    "p3_found": r"""
+WITH c AS (
+  SELECT id, arg_max(struct_pack(d := coalesce(is_deleted, false), t := content, y := content_type), coalesce(updated_at, -9e18)) AS s FROM chunks WHERE id IS NOT NULL GROUP BY id
+), l AS (SELECT content_type, max(max_tokens) AS max_tokens FROM chunk_limits GROUP BY content_type),
+z AS (
+  SELECT id, s.y AS content_type, length(regexp_replace(regexp_replace(s.t, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '[^\x{4E00}-\x{9FFF}]+', '', 'g')) AS h,
+         length(regexp_replace(s.t, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS n
+  FROM c WHERE NOT s.d AND s.t IS NOT NULL
+)
+SELECT id AS chunk_id FROM z JOIN l USING (content_type) WHERE (8 * h + 3 * (n - h)) // 12 > max_tokens""",
     "p5_found": _CANONICAL
     + """, g AS (SELECT kind, id, min(id) OVER (PARTITION BY kind, k) AS keep_id FROM keyed)
 SELECT kind, keep_id, id AS copy_id FROM g WHERE id <> keep_id""",
