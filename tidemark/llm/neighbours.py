@@ -24,7 +24,7 @@ LEAST_CENTROIDS, MOST_CENTROIDS = 8, 1024
 SAMPLE_PER_CENTROID = 64
 ROUNDS = 10
 #: Cells visited by a query for near neighbours.
-CELLS = 16
+CELLS = 24
 #: Entries of one partition of the index.
 PART_ENTRIES = 32_768
 QUERY_BLOCK = 16_384
