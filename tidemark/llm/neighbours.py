@@ -27,7 +27,7 @@ ROUNDS = 10
 CELLS = 24
 #: Entries of one partition of the index.
 PART_ENTRIES = 32_768
-QUERY_BLOCK = 16_384
+QUERY_BLOCK = 8_192
 
 ROUTED = "part int, is_query boolean, vector_class long, vector binary, cell int, cutoff float"
 MATCHES = "query long, entry long, similarity float"
@@ -52,9 +52,9 @@ def _fit(points: np.ndarray, k: int) -> np.ndarray:
     centroids = points[np.linspace(0, len(points) - 1, k).astype(int)].copy()
     for _ in range(ROUNDS):
         nearest = ((centroids * centroids).sum(1) - 2 * (points @ centroids.T)).argmin(1)
-        sums, counts = np.zeros_like(centroids), np.bincount(nearest, minlength=k)
+        sums, counts = np.zeros_like(centroids), np.bincount(nearest, minlength=len(centroids))
         np.add.at(sums, nearest, points)
-        centroids[counts > 0] = sums[counts > 0] / counts[counts > 0, None]
+        centroids = sums[counts > 0] / counts[counts > 0, None]  # those without points, as in samples with few different ones, go
     return centroids
 
 
@@ -80,7 +80,7 @@ def _group(centroids: np.ndarray, load: np.ndarray, parts: int) -> np.ndarray:
 def fit_codebooks(sample: np.ndarray, centroids: int, parts: int) -> Codebooks:
     half = sample.shape[1] // 2
     first, second = _fit(sample[:, :half], centroids), _fit(sample[:, half:], centroids)
-    load = np.bincount(((first * first).sum(1) - 2 * (sample[:, :half] @ first.T)).argmin(1), minlength=centroids)
+    load = np.bincount(((first * first).sum(1) - 2 * (sample[:, :half] @ first.T)).argmin(1), minlength=len(first))
     part = _group(first, load.astype(float), parts)
     return Codebooks(first, second, part, int(part.max()) + 1)
 
@@ -125,13 +125,13 @@ def traversal(d1: np.ndarray, d2: np.ndarray, cells: int) -> tuple[np.ndarray, n
     (i + 1) * (j + 1) <= n, as all pairs of lower ranks come first. So that staircase is the whole frontier, for
     all queries of the block at once.
     """
-    k = d1.shape[1]
-    cells = min(cells, k * k)
-    if cells > 4 * k:  # wide search: the staircase is nearly everything
+    k1, k2 = d1.shape[1], d2.shape[1]
+    cells = min(cells, k1 * k2)
+    if cells > 4 * max(k1, k2):  # wide search: the staircase is nearly everything
         sums = (d1[:, :, None] + d2[:, None, :]).reshape(len(d1), -1)
         top = np.argpartition(sums, cells - 1, axis=1)[:, :cells]
-        return top // k, top % k, np.take_along_axis(sums, top, 1)
-    o1, o2 = np.argsort(d1, axis=1)[:, : min(k, cells)], np.argsort(d2, axis=1)[:, : min(k, cells)]
+        return top // k2, top % k2, np.take_along_axis(sums, top, 1)
+    o1, o2 = np.argsort(d1, axis=1)[:, : min(k1, cells)], np.argsort(d2, axis=1)[:, : min(k2, cells)]
     i, j = (x.ravel() for x in np.indices((o1.shape[1], o2.shape[1])))
     i, j = i[keep := (i + 1) * (j + 1) <= cells], j[keep]
     sums = np.take_along_axis(d1, o1, 1)[:, i] + np.take_along_axis(d2, o2, 1)[:, j]
@@ -139,7 +139,7 @@ def traversal(d1: np.ndarray, d2: np.ndarray, cells: int) -> tuple[np.ndarray, n
     return np.take_along_axis(o1, i[top], 1), np.take_along_axis(o2, j[top], 1), np.take_along_axis(sums, top, 1)
 
 
-def _router(books, width: int, cells: int):
+def _router(books, width: int, cells: int, mutual: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b: Codebooks = books.value
         for batch in batches:
@@ -148,34 +148,39 @@ def _router(books, width: int, cells: int):
             names, at = np.unique(_classes(units), return_index=True)  # equal vectors count once
             wanted = np.isin(names, _classes(units[asked]))
             units = units[at]
-            for lo in range(0, len(units), 256):
-                u, name = units[lo : lo + 256], names[lo : lo + 256]
+            step = 256 if cells <= 4 * len(b.first) else max(1, (1 << 22) // (len(b.first) * len(b.second)))
+            for lo in range(0, len(units), step):
+                u, name = units[lo : lo + step], names[lo : lo + step]
                 d1, d2 = b.distances(u)
                 near = d1.argmin(1)
-                parts, classes, blobs, cell, cutoff = [b.part[near]], [name], [u], [near * len(b.second) + d2.argmin(1)], [np.zeros(len(u))]
-                kind = [np.zeros(len(u), bool)]
-                if (q := np.flatnonzero(wanted[lo : lo + 256])).size:
+                parts, classes, blobs, cell, cutoff = [b.part[near]], [name], [u], [near * len(b.second) + d2.argmin(1)], [np.full(len(u), np.nan)]
+                kind, home = [np.zeros(len(u), bool)], b.part[near]
+                if (q := np.flatnonzero(wanted[lo : lo + step])).size:
                     c1, _, sums = traversal(d1[q], d2[q], cells)
                     touched = np.zeros((len(q), b.parts), bool)
                     np.put_along_axis(touched, b.part[c1].astype(np.int64), True, 1)
+                    touched[np.arange(len(q)), home[q]] = False  # there its entry asks as well
+                    if mutual:
+                        touched &= np.arange(b.parts) > home[q][:, None]
+                    cutoff[0][q] = edge = sums.max(1)
                     who, where = np.nonzero(touched)
                     parts.append(where)
                     classes.append(name[q][who])
                     blobs.append(u[q][who])
                     cell.append(np.full(len(who), -1))
-                    cutoff.append(sums.max(1)[who])
+                    cutoff.append(edge[who])
                     kind.append(np.ones(len(who), bool))
                 vectors = np.ascontiguousarray(np.concatenate(blobs).astype("<f4"))
                 raw = vectors.tobytes()
-                step = width * 4
+                size = width * 4
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate(parts).astype(np.int32)),
                         pa.array(np.concatenate(kind)),
                         pa.array(np.concatenate(classes)),
-                        pa.array([raw[x : x + step] for x in range(0, len(raw), step)], pa.binary()),
+                        pa.array([raw[x : x + size] for x in range(0, len(raw), size)], pa.binary()),
                         pa.array(np.concatenate(cell).astype(np.int32)),
-                        pa.array(np.concatenate(cutoff).astype(np.float32)),
+                        pa.array(np.concatenate(cutoff).astype(np.float32), from_pandas=True),
                     ],
                     names=[x.split()[0] for x in ROUTED.split(", ")],
                 )
@@ -213,8 +218,9 @@ class _Best:
         return self.parts[0]
 
 
-def _search(b: Codebooks, cells: np.ndarray, names: np.ndarray, vectors: np.ndarray, asked: np.ndarray, queries: np.ndarray, cutoff: np.ndarray, k: int, least: float) -> pa.RecordBatch:
-    """Matches of a block of queries in the entries of one partition, which are sorted by cell."""
+def _search(b: Codebooks, index: tuple, asked: np.ndarray, queries: np.ndarray, cutoff: np.ndarray, k: int, least: float, back: _Best | None) -> pa.RecordBatch:
+    """Matches of a block of queries in the entries of one partition, which are sorted by cell. ``back`` collects those of the entries."""
+    cells, names, vectors = index
     best = _Best(len(queries), k, least)
     starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]]) if len(cells) else np.zeros(0, int)
     ends = np.append(starts[1:], len(cells))
@@ -232,16 +238,25 @@ def _search(b: Codebooks, cells: np.ndarray, names: np.ndarray, vectors: np.ndar
                 for w in range(0, len(who), 2048):
                     some = who[w : w + 2048]
                     found = queries[some] @ vectors[s:e].T
-                    i, j = np.nonzero(found >= best.floor[some][:, None])
+                    good = found >= best.floor[some][:, None]
+                    if back:
+                        good |= found >= back.floor[s:e]
+                    i, j = np.nonzero(good)
                     if len(i):
                         i, j, value = some[i], j + s, found[i, j]
                         other = asked[i] != names[j]
                         best.add(i[other], names[j[other]], value[other])
+                        if back:
+                            back.add(j[other], asked[i[other]], value[other])
+    return _matches(asked, best)
+
+
+def _matches(names: np.ndarray, best: _Best) -> pa.RecordBatch:
     who, entry, similarity = best.cut()
-    return pa.RecordBatch.from_arrays([pa.array(asked[who]), pa.array(entry), pa.array(np.minimum(similarity, np.float32(1)))], names=["query", "entry", "similarity"])
+    return pa.RecordBatch.from_arrays([pa.array(names[who]), pa.array(entry), pa.array(np.minimum(similarity, np.float32(1)))], names=["query", "entry", "similarity"])
 
 
-def _searcher(books, width: int, k: int, least: float):
+def _searcher(books, width: int, k: int, least: float, mutual: bool):
     def vectors(blobs: list[bytes]) -> np.ndarray:
         return np.frombuffer(b"".join(blobs), "<f4").reshape(-1, width)
 
@@ -255,15 +270,31 @@ def _searcher(books, width: int, k: int, least: float):
                 cell = np.array(state["cell"], np.int64)[at]
                 order = np.argsort(cell, kind="stable")
                 state["index"] = cell[order], name[order], vectors([state["blob"][x] for x in at[order]])
-                state["name"], state["cell"], state["blob"] = [], [], []
+                state["back"] = _Best(len(name), k, least) if mutual else None
+                state["own"] = True
+                asking = [x for x, edge in enumerate(state["edge"]) if edge is not None]
+                state["asked"] = [state["name"][x] for x in asking]
+                state["query"] = [state["blob"][x] for x in asking]
+                state["cutoff"] = [state["edge"][x] for x in asking]
+                state["name"], state["cell"], state["blob"], state["edge"] = [], [], [], []
 
         def answer() -> Iterator[pa.RecordBatch]:
+            index()
             if state["asked"]:
-                index()
                 name, at = np.unique(np.array(state["asked"], np.int64), return_index=True)
                 cutoff = np.array(state["cutoff"], np.float32)[at]
-                yield _search(b, *state["index"], name, vectors([state["query"][x] for x in at]), cutoff, k, least)
+                # the entries' own questions find both directions by themselves
+                back = None if state["own"] else state["back"]
+                for lo in range(0, len(name), QUERY_BLOCK):
+                    some = at[lo : lo + QUERY_BLOCK]
+                    yield _search(b, state["index"], name[lo : lo + QUERY_BLOCK], vectors([state["query"][x] for x in some]), cutoff[lo : lo + QUERY_BLOCK], k, least, back)
                 state["asked"], state["cutoff"], state["query"] = [], [], []
+            state["own"] = False
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            yield from answer()
+            if mutual:
+                yield _matches(state["index"][1], state["back"])
 
         for batch in batches:
             part, is_query = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("part", "is_query"))
@@ -271,11 +302,13 @@ def _searcher(books, width: int, k: int, least: float):
             for lo, hi in zip(change, np.append(change[1:], len(part)), strict=True):
                 if part[lo] != state["part"]:
                     if state["part"] is not None:
-                        yield from answer()
-                    state = {"part": part[lo], "index": None, "name": [], "cell": [], "blob": [], "asked": [], "cutoff": [], "query": []}
+                        yield from finish()
+                    state = {"part": part[lo], "index": None, "name": [], "cell": [], "blob": [], "edge": [], "asked": [], "cutoff": [], "query": []}
                 rows = batch.slice(lo, hi - lo)
                 name, blob = rows.column("vector_class").to_pylist(), rows.column("vector").to_pylist()
                 if is_query[lo]:
+                    if state["index"] is None:
+                        yield from answer()
                     state["asked"] += name
                     state["query"] += blob
                     state["cutoff"] += rows.column("cutoff").to_pylist()
@@ -285,13 +318,14 @@ def _searcher(books, width: int, k: int, least: float):
                     state["name"] += name
                     state["blob"] += blob
                     state["cell"] += rows.column("cell").to_pylist()
+                    state["edge"] += rows.column("cutoff").to_pylist()
         if state["part"] is not None:
-            yield from answer()
+            yield from finish()
 
     return run
 
 
-def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, cells: int | None = CELLS, share: float = 0.0, asked: Column | None = None, width: int = 64) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, cells: int = CELLS, share: float = 0.0, asked: Column | None = None, width: int = 64) -> DataFrame:
     """The ``k`` most similar other chunks of each asked chunk: (chunk_id, neighbour_id, similarity).
 
     Only embeddings of exactly ``width`` finite numbers, not all zero, count, one per chunk_id; others are in no
@@ -313,12 +347,16 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, cells: int | No
     _, points = _units(sample.column("embedding").combine_chunks(), width)
     if not len(points):
         points = np.eye(1, width, dtype=np.float32)
-    books = spark.sparkContext.broadcast(fit_codebooks(points, centroids, parts))
-
-    visit = max(cells or 1, int(share * centroids * centroids))
-    flag = F.lit(True) if asked is None else F.coalesce(asked, F.lit(False))
-    routed = rows.withColumn("asked", flag).mapInArrow(_router(books, width, visit), ROUTED)
-    found = routed.repartition("part").sortWithinPartitions("part", "is_query").mapInArrow(_searcher(books, width, k, least), MATCHES)
+    fitted = fit_codebooks(points, centroids, parts)
+    books = spark.sparkContext.broadcast(fitted)
+
+    visit = max(cells, int(share * centroids * centroids))
+    # where every vector asks, one of two partitions asks the other, and both directions are kept there
+    mutual = asked is None
+    flag = F.lit(True) if mutual else F.coalesce(asked, F.lit(False))
+    routed = rows.withColumn("asked", flag).mapInArrow(_router(books, width, visit, mutual), ROUTED)
+    found = routed.repartitionById(fitted.parts, F.col("part")).sortWithinPartitions("part", "is_query").mapInArrow(_searcher(books, width, k, least, mutual), MATCHES)
+    found = found.repartition("query").groupBy("query", "entry").agg(F.max("similarity").alias("similarity"))  # equal vectors of different batches
     best = Window.partitionBy("query").orderBy(F.desc("similarity"), "entry")
     matches = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
     return _named(members, matches, flag, k)
