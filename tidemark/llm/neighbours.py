@@ -28,6 +28,8 @@ CELLS = 24
 #: Entries of one partition of the index.
 PART_ENTRIES = 32_768
 QUERY_BLOCK = 8_192
+#: Queries answered exactly to see how far a search must go.
+PROBES = 200
 
 ROUTED = "part int, is_query boolean, vector_class long, vector binary, cell int, cutoff float"
 MATCHES = "query long, entry long, similarity float"
@@ -325,13 +327,13 @@ def _searcher(books, width: int, k: int, least: float, mutual: bool):
     return run
 
 
-def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, cells: int = CELLS, share: float = 0.0, asked: Column | None = None, width: int = 64) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, cells: int = CELLS, recall: float | None = None, asked: Column | None = None, width: int = 64) -> DataFrame:
     """The ``k`` most similar other chunks of each asked chunk: (chunk_id, neighbour_id, similarity).
 
     Only embeddings of exactly ``width`` finite numbers, not all zero, count, one per chunk_id; others are in no
     result. Every usable vector is in the index; those for which ``asked`` holds (all, if None) are queries. A
-    query visits ``cells`` cells of the index, or the ``share`` of all cells if that is more. ``least`` leaves out
-    less similar neighbours. Ties go to the smaller neighbour_id. Equal vectors are one entry, so a
+    query visits ``cells`` cells of the index, or, if that is more, as many as the share ``recall`` of the
+    neighbours of PROBES queries, found exactly, lies in. ``least`` leaves out less similar neighbours. Ties go to the smaller neighbour_id. Equal vectors are one entry, so a
     large group of them costs one; an empty table gives no rows.
     """
     spark = vectors.sparkSession
@@ -350,7 +352,7 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, cells: int = CE
     fitted = fit_codebooks(points, centroids, parts)
     books = spark.sparkContext.broadcast(fitted)
 
-    visit = max(cells, int(share * centroids * centroids))
+    visit = cells if recall is None else max(cells, cells_for(recall, rows, books, points[:PROBES], width, k))
     # where every vector asks, one of two partitions asks the other, and both directions are kept there
     mutual = asked is None
     flag = F.lit(True) if mutual else F.coalesce(asked, F.lit(False))
@@ -362,6 +364,44 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, cells: int = CE
     return _named(members, matches, flag, k)
 
 
+def _probe(books, width: int, k: int, queries: np.ndarray):
+    """The k best entries of each probe in each batch, and the summed distance of the cell each lies in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b: Codebooks = books.value
+        asked, (q1, q2) = _classes(queries), b.distances(queries)
+        for batch in batches:
+            _, units = _units(batch.column("embedding"), width)
+            names, at = np.unique(_classes(units), return_index=True)
+            if not len(names):
+                continue
+            units = units[at]
+            d1, d2 = b.distances(units)
+            near1, near2 = d1.argmin(1), d2.argmin(1)
+            found = queries @ units.T
+            found[asked[:, None] == names[None, :]] = -2
+            best = np.argpartition(-found, min(k, len(names)) - 1, axis=1)[:, :k]
+            who = np.repeat(np.arange(len(queries)), best.shape[1])
+            best = best.ravel()
+            reach = q1[who, near1[best]] + q2[who, near2[best]]
+            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(names[best]), pa.array(found[who, best]), pa.array(reach.astype(np.float32))], names=["query", "entry", "similarity", "reach"])
+
+    return run
+
+
+def cells_for(recall: float, rows: DataFrame, books, queries: np.ndarray, width: int, k: int) -> int:
+    """Cells a query must visit to find the share ``recall`` of its k nearest, from exact answers to PROBES queries over all rows."""
+    found = rows.mapInArrow(_probe(books, width, k, queries), f"{MATCHES}, reach float").groupBy("query", "entry").agg(F.max("similarity").alias("similarity"), F.max("reach").alias("reach"))
+    best = Window.partitionBy("query").orderBy(F.desc("similarity"), "entry")
+    exact = found.withColumn("rank", F.row_number().over(best)).where((F.col("rank") <= k) & (F.col("similarity") > -2)).select("query", "reach").toPandas()  # at most PROBES * k rows
+    q1, q2 = books.value.distances(queries)
+    ranks = []
+    for query, mine in exact.groupby("query"):
+        sums = (q1[query][:, None] + q2[query][None, :]).ravel()
+        ranks += [np.count_nonzero(sums <= r + 1e-5 * (1 + abs(r))) for r in mine["reach"]]
+    return int(np.quantile(ranks, recall)) + 1 if ranks else 1
+
+
 def _named(members: DataFrame, matches: DataFrame, flag: Column, k: int) -> DataFrame:
     """Matches of classes as matches of ids: of each class the k + 1 best candidates hold the answers of all its members."""
     first = Window.partitionBy("vector_class").orderBy("chunk_id")

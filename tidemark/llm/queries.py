@@ -13,7 +13,7 @@ QUERIES = {
     "p3_pieces": lambda spark, d: split.oversized_pieces(table(spark, d, "chunks"), table(spark, d, "chunk_limits")),
     "p3_found": lambda spark, d: split.oversized_pieces(table(spark, d, "chunks"), table(spark, d, "chunk_limits")).select("chunk_id").distinct(),
     "p4_found": lambda spark, d: neighbours.similar_pairs(table(spark, d, "vectors")),
-    "p4_neighbours": lambda spark, d: neighbours.nearest(table(spark, d, "vectors"), share=0.3, asked=F.col("chunk_id") % 20 == 0),
+    "p4_neighbours": lambda spark, d: neighbours.nearest(table(spark, d, "vectors"), recall=0.95, asked=F.col("chunk_id") % 20 == 0),
     "p5_found": lambda spark, d: copies.duplicate_copies(table(spark, d, "files"), table(spark, d, "chunks")),
     "p5_collapsed": lambda spark, d: copies.collapsed(table(spark, d, "files"), table(spark, d, "chunks")),
     "p6_ids": lambda spark, d: tokens.token_ids(table(spark, d, "documents")),
