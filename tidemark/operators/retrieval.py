@@ -1,0 +1,190 @@
+"""Ranked retrieval: nearest vectors, full text by BM25, both fused with the confidence of documents."""
+
+from __future__ import annotations
+
+import datetime as dt
+import re
+import unicodedata
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from tidemark.config import Confidence
+from tidemark.functions import vectors as V
+from tidemark.functions.confidence import confidence, query_time
+from tidemark.operators.index import corpus_stats, places, tokenised
+
+#: BM25's parameters, and the weight of a term that most rows have.
+K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Candidates of each channel and of both together, in multiples of the results wanted.
+CHANNEL, MERGED = 10, 5
+
+
+def vector_topk(vectors: DataFrame, query: Sequence[float], n: int) -> DataFrame:
+    """The ``n`` nearest chunks by Euclidean distance: (chunk_id, score), score 1 / (1 + distance).
+
+    Vectors of another length or with missing or NaN numbers are no candidates; a chunk counts once, with its
+    nearest vector; ties go to the smaller chunk_id. Only the best of each task reach the last one.
+    """
+    rows = vectors.where(V.usable(F.col("embedding"), len(query)) & F.col("chunk_id").isNotNull())
+    near = rows.select("chunk_id", V.l2(F.col("embedding"), V.literal(query)).alias("distance")).groupBy("chunk_id").agg(F.min("distance").alias("distance"))
+    return near.select("chunk_id", (F.lit(1.0) / (F.lit(1.0) + F.col("distance"))).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(n)
+
+
+def _folded(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if unicodedata.category(c) != "Mn")
+
+
+def query_phrases(query: str) -> list[list[str]]:
+    """A phrase for each word of a query, once for each time it is there; a word's parts must follow one another."""
+    kept = re.sub(r"[^\w\s一-龥\-]", " ", query)
+    found = ([p for p in re.split(r"[\W_]+", _folded(word)) if p] for word in kept.split())
+    return [p for p in found if p]
+
+
+def bm25(texts: DataFrame, queries: Sequence[str]) -> DataFrame:
+    """(query_no, chunk_id, score) of every row that has at least one phrase of the query, in the order of ``queries``.
+
+    ``texts``: (chunk_id, content). The number and mean length of rows are those of ``texts``. Words are joined
+    by OR, a repeated word counts as often; a query without a word finds nothing. Scores are rounded to nine digits,
+    so that equal ones stay equal in whatever order their parts were added.
+    """
+    spark = texts.sparkSession
+    parts = []
+    for q, query in enumerate(queries):
+        phrases: dict[tuple[str, ...], int] = {}
+        for p in query_phrases(query):
+            phrases[tuple(p)] = phrases.get(tuple(p), 0) + 1
+        parts += [(q, n, i, term, len(p), times) for n, (p, times) in enumerate(phrases.items()) for i, term in enumerate(p)]
+    asked = spark.createDataFrame(parts, "query_no int, phrase_no int, part int, term string, parts int, times int")
+    tokens = tokenised(texts)
+    stats = corpus_stats(tokens)
+    n, avgdl = stats.select("n").scalar(), stats.select("avgdl").scalar()
+    spots = places(tokens, sorted({p[3] for p in parts}))
+    # the phrases come from the caller's list of queries, so their number is known here
+    hits = spots.join(F.broadcast(asked), "term")
+    starts = hits.groupBy("query_no", "phrase_no", "chunk_id", (F.col("position") - F.col("part")).alias("start")).agg(F.count("*").alias("found"), F.first("parts").alias("parts"), F.first("dl").alias("dl"), F.first("times").alias("times"))
+    counts = starts.where(F.col("found") == F.col("parts")).groupBy("query_no", "phrase_no", "chunk_id").agg(F.count("*").alias("f"), F.first("dl").alias("dl"), F.first("times").alias("times"))
+    rows_with = counts.groupBy("query_no", "phrase_no").agg(F.count("*").alias("df"))
+    scored = counts.join(F.broadcast(rows_with), ["query_no", "phrase_no"])
+    raw = F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = F.when(raw <= 0, F.lit(LEAST_IDF)).otherwise(raw)
+    part = F.col("times") * idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / avgdl))
+    return scored.groupBy("query_no", "chunk_id").agg(F.round(F.sum(part), 9).alias("score"))
+
+
+def bm25_topk(texts: DataFrame, queries: Sequence[str], n: int) -> DataFrame:
+    """The ``n`` best rows of each query: (query_no, rank, chunk_id, score); ties go to the smaller chunk_id."""
+    best = Window.partitionBy("query_no").orderBy(F.desc("score"), "chunk_id")
+    ranked = bm25(texts, queries).withColumn("rank", F.row_number().over(best))
+    return ranked.where(F.col("rank") <= n).select("query_no", "rank", "chunk_id", "score")
+
+
+@dataclass(frozen=True)
+class Weights:
+    alpha: float
+    beta: float
+
+
+def weights(mode: str | None = None, alpha: float | None = None, beta: float | None = None, default: tuple[float, float] = (0.6, 0.4)) -> Weights:
+    """Of the two channels: by mode, or as given; one alone leaves the rest of 1 to the other; both must make 1."""
+    if mode == "keyword":
+        return Weights(0.0, 1.0)
+    if mode == "semantic":
+        return Weights(1.0, 0.0)
+    if alpha is None and beta is None:
+        return Weights(*default)
+    a = alpha if alpha is not None else 1 - beta
+    b = beta if beta is not None else 1 - alpha
+    if abs(a + b - 1) > 0.01:
+        raise ValueError(f"alpha and beta must make 1, not {a + b:g}")
+    return Weights(a, b)
+
+
+def clamped(top_k: int) -> int:
+    return max(1, min(int(top_k), 100))
+
+
+def enabled_vaults(requested: Sequence[str] | str | None, enabled: Sequence[str]) -> list[str] | None:
+    """The requested vaults that are enabled; all (None) if none are requested. None left is an error."""
+    if not requested:
+        return None
+    names = [x.strip() for x in requested.split(",")] if isinstance(requested, str) else list(requested)
+    left = [x for x in names if x in enabled]
+    if not left:
+        raise ValueError(f"none of the vaults {names} is enabled")
+    return left
+
+
+RESULT = ("rank", "chunk_id", "content", "file_path", "absolute_path", "section", "start_pos", "end_pos", "vault_name", "chunk_type", "semantic_score", "keyword_score", "confidence_score", "final_score", "confidence_reason", "file_hash")
+
+
+def candidates(semantic: DataFrame, keyword: DataFrame) -> DataFrame:
+    """Both channels by chunk, 0 where one has no score: (chunk_id, semantic_score, keyword_score)."""
+    s = semantic.select("chunk_id", F.col("score").alias("s"))
+    k = keyword.select("chunk_id", F.col("score").alias("k"))
+    return s.join(k, "chunk_id", "full").select("chunk_id", F.coalesce("s", F.lit(0.0)).alias("semantic_score"), F.coalesce("k", F.lit(0.0)).alias("keyword_score"))
+
+
+def scored(found: DataFrame, chunks: DataFrame, files: DataFrame, query: str, w: Weights, rules: Confidence, as_of: dt.date, vaults: Sequence[str] | None = None) -> DataFrame:
+    """Candidates with their chunk, file and final score: (alpha * semantic + beta * log1p(keyword)) * confidence.
+
+    At most 20 candidates per result wanted come in, so they are the broadcast side. Flagged chunks and files and
+    other vaults are filtered here, after the candidates were cut.
+    """
+    live = ~F.coalesce("is_deleted", F.lit(False))
+    c = chunks.where(live).select(F.col("id").alias("chunk_id"), "file_id", "content", F.coalesce(F.nullif(F.col("section_title"), F.lit("")), F.lit("Root")).alias("section"), "start_pos", "end_pos", F.col("content_type").alias("chunk_type"), "confidence_json")
+    f = files.where(live).select(F.col("id").alias("file_id"), "file_path", "absolute_path", "vault_name", "file_hash")
+    rows = F.broadcast(F.broadcast(found).join(c, "chunk_id")).join(f, "file_id")
+    if vaults:
+        rows = rows.where(F.col("vault_name").isin(list(vaults)))
+    rows = rows.select("*", *confidence(F.col("confidence_json"), rules, as_of, query_time(query)))
+    final = (F.lit(w.alpha) * F.col("semantic_score") + F.lit(w.beta) * F.log1p(F.greatest(F.lit(0.0), F.col("keyword_score")))) * F.col("confidence_score")
+    return rows.withColumn("final_score", final)
+
+
+def best_by_file(rows: DataFrame, key: str = "file_path") -> DataFrame:
+    """The best chunk of each path; between equal scores the smaller chunk_id. One path in two vaults is one."""
+    best = Window.partitionBy(key).orderBy(F.desc("final_score"), "chunk_id")
+    return rows.withColumn("_n", F.row_number().over(best)).where(F.col("_n") == 1).drop("_n")
+
+
+def search(
+    chunks: DataFrame, files: DataFrame, vectors: DataFrame, query: str, query_vector: Sequence[float], limit: int = 10, *,
+    w: Weights = Weights(0.6, 0.4), vaults: Sequence[str] | None = None, rules: Confidence | None = None, as_of: dt.date = dt.date(2024, 6, 1), prefilter: bool = False,
+) -> DataFrame:
+    """The ``limit`` best files for a query, one chunk each, as RESULT.
+
+    ``chunks`` and ``files`` have one row an id. Each channel gives 10 candidates per result; their best 5 per
+    result by final score are reduced to one chunk a file. Vaults are filtered after the candidates were cut, or
+    before with ``prefilter``. Both channels run whatever the weights, so rows of a muted channel may fill up
+    the result with a final score of 0. A blank query finds nothing.
+    """
+    rules = rules or Confidence.shipped()
+    live = chunks.where(~F.coalesce("is_deleted", F.lit(False)))
+    if prefilter and vaults:
+        live = live.join(files.where(F.col("vault_name").isin(list(vaults))).select(F.col("id").alias("file_id")), "file_id", "left_semi")
+    ids = live.select(F.col("id").alias("chunk_id"), "content")
+    if not query.strip():
+        ids, vectors = ids.where(F.lit(False)), vectors.where(F.lit(False))
+    inside = vectors.join(ids.select("chunk_id"), "chunk_id", "left_semi")
+    semantic = vector_topk(inside, query_vector, CHANNEL * limit)
+    keyword = bm25_topk(ids, [query], CHANNEL * limit).select("chunk_id", "score")
+    rows = scored(candidates(semantic, keyword), chunks, files, query, w, rules, as_of, vaults)
+    short = rows.orderBy(F.desc("final_score"), "chunk_id").limit(MERGED * limit)
+    top = best_by_file(short).orderBy(F.desc("final_score"), "chunk_id").limit(limit)
+    ranked = top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("final_score"), "chunk_id")))
+    return ranked.select(*RESULT)
+
+
+def response(results: DataFrame) -> DataFrame:
+    """What a caller sees: rank, file, path, the first 300 characters, scores of 4 digits, reason."""
+    return results.select("rank", F.col("file_path").alias("file"), F.col("absolute_path").alias("abs_path"), F.substring("content", 1, 300).alias("content"), F.round("final_score", 4).alias("score"), F.round("confidence_score", 4).alias("confidence"), F.col("confidence_reason").alias("reason"))
+
+
+def as_csv(results: DataFrame) -> DataFrame:
+    """Ten columns for a CSV file: 200 characters of content on one line."""
+    text = F.regexp_replace(F.substring("content", 1, 200), "[\r\n]+", " ")
+    return results.select("rank", "file_path", "vault_name", "section", "chunk_type", text.alias("content"), "semantic_score", "keyword_score", "confidence_score", "final_score")
