@@ -20,7 +20,6 @@ from tidemark.plans.maintenance import Store
 from tidemark.session import materialise
 from tidemark.sources.vault import list_vault, read_listed
 
-_ID = F.xxhash64("vault_name", "file_path").bitwiseAND(F.lit((1 << 62) - 1))
 #: The built-in prompts, used when no template is given.
 SEARCH_PROMPT = "{{context}}\n\n{{query}}"
 SUMMARY_PROMPT = "{{file_path}}\n{{doc_type}} {{status}} {{date}}\n\n{{content}}"
@@ -58,7 +57,7 @@ class Engine:
         files = listing.join(texts.select("absolute_path", "file_hash"), "absolute_path").select(
             "vault_name", F.col("rel_path").alias("file_path"), "absolute_path", "file_hash", "file_size", "mtime", F.lit(False).alias("is_deleted"), stamp.alias("created_at"), stamp.alias("updated_at")
         )
-        files = materialise(files.select(_ID.alias("id"), "*"), "files")
+        files = materialise(files.select(scan.new_id().alias("id"), "*"), "files")
         chunks = materialise(self._chunks(files, texts, as_of), "chunks")
         self.store.write(files=files, chunks=chunks, vectors=self._vectors(chunks))
         return self.stats()

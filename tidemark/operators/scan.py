@@ -13,6 +13,11 @@ def _needs_hash() -> Column:
     return F.col("f.id").isNull() | F.coalesce(changed, F.lit(True))
 
 
+def new_id() -> Column:
+    """An id made from vault and path; from 2**62 on, where no counted id is."""
+    return F.xxhash64("vault_name", "file_path").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+
+
 def _joined(files: DataFrame, disk: DataFrame) -> DataFrame:
     seen = disk.where(F.col("absolute_path").isNotNull()).groupBy("absolute_path").agg(F.max(F.struct("mtime", "file_size", "vault_name", "rel_path")).alias("s"))
     seen = seen.select("absolute_path", "s.vault_name", "s.rel_path", "s.mtime", "s.file_size").withColumn("on_disk", F.lit(True))
@@ -77,8 +82,7 @@ def apply_changes(files: DataFrame, changes: DataFrame, as_of: int) -> DataFrame
     """
     dead = files.where("is_deleted").groupBy("absolute_path").agg(F.min("id").alias("dead_id"))
     c = changes.join(dead, "absolute_path", "left")
-    made = F.xxhash64("vault_name", "file_path").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-    restored = F.when(F.col("change_type") == "new", F.coalesce("dead_id", made)).otherwise(F.col("old_id"))
+    restored = F.when(F.col("change_type") == "new", F.coalesce("dead_id", new_id())).otherwise(F.col("old_id"))
     c = c.withColumn("id", restored).drop("dead_id", "old_id")
     f, n = files.alias("f"), c.alias("c")
     kind = F.col("c.change_type")
@@ -116,12 +120,11 @@ def without_deleted(index: DataFrame, chunks: DataFrame) -> DataFrame:
 def upsert_files(files: DataFrame, incoming: DataFrame, as_of: int) -> DataFrame:
     """Stored files with the incoming ones put in by (vault_name, file_path): hash, size, time, path, flag and updated_at are the incoming row's."""
     n = incoming.groupBy("vault_name", "file_path").agg(F.max(F.struct("mtime", "file_hash", "file_size", "absolute_path")).alias("n"))
-    made = F.xxhash64("vault_name", "file_path").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
     rows = files.join(n, ["vault_name", "file_path"], "full")
     new = F.col("n").isNotNull()
     pick = lambda c: F.when(new, F.col(f"n.{c}")).otherwise(F.col(c)).alias(c)
     return rows.select(
-        F.coalesce("id", made).alias("id"), "vault_name", "file_path", pick("absolute_path"), pick("file_hash"), pick("file_size"), pick("mtime"),
+        F.coalesce("id", new_id()).alias("id"), "vault_name", "file_path", pick("absolute_path"), pick("file_hash"), pick("file_size"), pick("mtime"),
         F.when(new, False).otherwise(F.col("is_deleted")).alias("is_deleted"), F.coalesce("created_at", F.lit(as_of)).alias("created_at"), F.when(new, F.lit(as_of)).otherwise(F.col("updated_at")).alias("updated_at"),
     )
 
