@@ -44,7 +44,7 @@ def test_natural_places():
     assert [text[a:b] for a, b in S.pieces(text, 13, 0)] == ["One two three four five. Six seven eight nine ten. ", "Eleven twelve thirteen. Fourteen fifteen sixteen."]
     assert S.size("  中文ab ") == 1 and S.size("") == 0 and S.size(" \n") == 0
     words = "alpha beta gamma delta " * 40
-    assert all(text[a:b] for a, b in S.pieces(words, 20, 5)) and all(words[b - 1] == " " for _, b in S.pieces(words, 20, 5))
+    assert all(words[b - 1] == " " for _, b in S.pieces(words, 20, 5))
 
 
 def test_table(spark):

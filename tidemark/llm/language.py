@@ -179,6 +179,8 @@ def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
 def fit(texts: list[str], labels: list[str]) -> tuple[list[str], np.ndarray]:
     """Languages, and the log probability of each slot in each, padded to 8 columns."""
     langs = sorted(set(labels))
+    if not langs:
+        return langs, np.zeros((SLOTS, 8), np.float32)
     number = np.array([langs.index(x) for x in labels], np.int64)
     counts = np.zeros((SLOTS, len(langs)))
     for slots, _, offsets in features(texts):

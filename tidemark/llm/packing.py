@@ -26,13 +26,14 @@ class BestFit:
     """Open containers ordered by what is left in them, each with bitmaps of its sources and clusters.
 
     The successor of a size is the container with the least room that still holds it. The search goes on from
-    successor to successor until one has neither the item's source nor its cluster; if all that fit conflict, a
-    shared source is let pass, then a shared cluster, before a new container is opened: unused space counts
-    for more. ``strict`` never lets a shared cluster pass.
+    successor to successor until one has neither the item's source nor its cluster. If all that fit conflict, a new
+    container is opened as long as there are fewer than ``free``, which any packing needs; after that a shared
+    source is let pass, then a shared cluster, before another is opened: unused space counts for more. ``strict``
+    never lets a shared cluster pass.
     """
 
-    def __init__(self, capacity: int, strict: bool = False):
-        self.capacity, self.strict = capacity, strict
+    def __init__(self, capacity: int, strict: bool = False, free: int = 0):
+        self.capacity, self.strict, self.free = capacity, strict, free
         self.room: list[list[int]] = [[] for _ in range(capacity + 1)]
         self.filled = 0  # bit r: some container has r left
         self.sources: list[int] = []
@@ -75,6 +76,8 @@ class BestFit:
                 else:
                     shared_cluster = shared_cluster or (left, place)
             rest &= rest - 1
+        if (shared_source or shared_cluster) and len(self.sources) < self.free:
+            return self.open(size, source, cluster)
         second = shared_source or (None if self.strict else shared_cluster)
         return self._take(*second, size, source, cluster) if second else self.open(size, source, cluster)
 
@@ -89,7 +92,7 @@ def pack(sizes: list[int], sources: list[int], clusters: list[int], capacity: in
     An item larger than the capacity fills containers of its own and leaves a remainder, which is packed like an
     item. Larger items go first. Empty items lie in the first container.
     """
-    bins = BestFit(capacity, strict)
+    bins = BestFit(capacity, strict, -(-sum(sizes) // capacity))
     out: list[list[tuple[int, int, int, int]]] = [[] for _ in sizes]
     rest = []
     for i, size in enumerate(sizes):

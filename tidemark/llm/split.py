@@ -85,7 +85,7 @@ def successors(codes: np.ndarray, limit: int, overlap: int) -> tuple[np.ndarray,
     level = levels(codes)
     total = np.zeros(n + 1, np.int64)
     np.cumsum(weights(codes), out=total[1:])
-    room, shared = TOKEN * (limit + 1) - 1, TOKEN * (overlap + 1) - 1
+    room, shared = TOKEN * (limit + 1) - 1, TOKEN * overlap
     at = np.arange(n + 1)
     allowed = level >= 0
     reach = np.searchsorted(total, total + room, "right") - 1
