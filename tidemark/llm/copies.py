@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.snapshots import folded
-from tidemark.session import materialise
+from tidemark.session import materialise, spread
 from tidemark.sources.tables import current, not_deleted
 
 #: At most so many keys are hot: each holds more than this share of the rows, so their number is proven.
@@ -47,7 +47,7 @@ def live_keys(files: DataFrame, chunks: DataFrame) -> DataFrame:
     """(kind, id, k1, k2) of every live file with a hash and live chunk with content. Only hashes are shuffled."""
     gone = (~not_deleted()).alias("gone")
     file_keys = current(files.select("id", "updated_at", gone, *key_columns(F.nullif(folded(F.col("file_hash")), F.lit("")))), "gone", "k1", "k2")
-    chunk_keys = current(chunks.select("id", "updated_at", gone, *key_columns(canonical_text(F.col("content")))), "gone", "k1", "k2")
+    chunk_keys = current(spread(chunks.select("id", "updated_at", "is_deleted", "content")).select("id", "updated_at", gone, *key_columns(canonical_text(F.col("content")))), "gone", "k1", "k2")
     both = file_keys.withColumn("kind", F.lit("file")).unionByName(chunk_keys.withColumn("kind", F.lit("chunk")))
     return both.where(~F.col("gone") & F.col("k1").isNotNull()).select("kind", "id", "k1", "k2")
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import kernel as K
+from tidemark.session import spread
 
 #: Labelled rows the model is fitted on at most; they reach the driver.
 SAMPLE_ROWS = 20_000
@@ -272,13 +273,13 @@ def segments(documents: DataFrame, samples: DataFrame) -> DataFrame:
     sentence is judged by all its letters and has ``sentences`` 0; one without letters, an empty or a null one has
     a null language and confidence 0. Headings, frontmatter, tables and code make no segment; set-off foreign
     phrases inside a sentence don't count. ``label`` is the row's ``lang`` as it came. Without samples no row has a
-    language. Nothing is shuffled.
+    language.
     """
     model = train(samples)
     rows = documents.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
     if not model.value[0]:
         return rows.selectExpr("doc_id", "lang as label", "0 as segment_no", "0 as line_no", "cast(null as string) as lang", "0d as confidence", "0 as sentences", "false as mixed")
-    return rows.mapInArrow(_labeller(model), SEGMENTS)
+    return spread(rows).mapInArrow(_labeller(model), SEGMENTS)
 
 
 def label_code(label: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import kernel as K
 from tidemark.llm.copies import canonical_text, key_columns
-from tidemark.session import materialise, shuffle_partitions
+from tidemark.session import materialise, shuffle_partitions, spread
 from tidemark.sources.tables import not_deleted
 
 #: A pair is a candidate if all ROWS MinHash values of one of BANDS bands agree. At a similarity of 0.5 a pair is
@@ -89,7 +89,7 @@ def _sketcher(words: int, min_tokens: int):
 
 def sketches(chunks: DataFrame, words: int, min_tokens: int) -> DataFrame:
     """A row of each row of ``chunks``: small columns, class of the shingle set, and MinHash values; one pass over the texts."""
-    rows = chunks.where(F.col("id").isNotNull()).select(
+    rows = spread(chunks.where(F.col("id").isNotNull()).select("id", "updated_at", "is_deleted", "content")).select(
         F.col("id").cast("long"), F.col("updated_at").cast("long"), (~not_deleted() | F.col("content").isNull()).alias("gone"), *key_columns(canonical_text(F.col("content"))), "content"
     )
     return rows.mapInArrow(_sketcher(words, min_tokens), SKETCH)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.tokens import VOCABULARY, load, transducer
 from tidemark.operators.snapshots import folded
+from tidemark.session import spread
 
 CAPACITY = 2_048
 #: Texts packed together in one task; more make hardly fuller containers.
@@ -125,7 +126,7 @@ def _counter(vocabulary):
 def sized(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, source_key, cluster_key, n_tokens) of every row; null and empty texts have 0 tokens. A null source is a source of its own."""
     text = F.col("text").cast("string")
-    rows = documents.select(
+    rows = spread(documents.select("doc_id", "source", "text")).select(
         F.col("doc_id").cast("long"), F.xxhash64(F.col("source").cast("string")).alias("source_key"), F.xxhash64(folded(F.coalesce(text, F.lit("")))).alias("cluster_key"), text.alias("text")
     )
     return rows.mapInArrow(_counter(load(documents.sparkSession, path)), "doc_id long, source_key long, cluster_key long, n_tokens long")

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the vocabulary's texts are cut before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -165,9 +167,9 @@ def _encoder(vocabulary):
 
 
 def token_ids(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(doc_id, ids) of every row; empty and null texts give an empty list. No special tokens; nothing is shuffled."""
+    """(doc_id, ids) of every row; empty and null texts give an empty list. No special tokens."""
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(_encoder(load(documents.sparkSession, path)), "doc_id long, ids array<int>")
+    return spread(rows).mapInArrow(_encoder(load(documents.sparkSession, path)), "doc_id long, ids array<int>")
 
 
 def _round_trip(vocabulary):
@@ -185,4 +187,4 @@ def _round_trip(vocabulary):
 def round_trip(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens, same): whether decoding a row's ids gives its text back; a null text counts as empty."""
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(_round_trip(load(documents.sparkSession, path)), "doc_id long, n_tokens long, same boolean")
+    return spread(rows).mapInArrow(_round_trip(load(documents.sparkSession, path)), "doc_id long, n_tokens long, same boolean")
