@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import Chunking
+from tidemark.session import spread
 
 #: The patterns of the file format.
 HEADER = re.compile(r"^(#{1,6})\s+(.*)")
@@ -232,7 +233,7 @@ def split_markdown(files: DataFrame, chunking: Chunking = Chunking(), as_of: dt.
     """Chunks of whole files: ``files`` has file_id, text and mtime; chunk_index counts from 0 in each file.
 
     Positions are code points of the body after the frontmatter. Null, empty and frontmatter-only texts have no
-    chunks. Line ends of all three kinds are one line feed. Nothing is shuffled.
+    chunks. Line ends of all three kinds are one line feed.
     """
     rows = files.where(F.col("text").isNotNull()).select(F.col("file_id").cast("long"), F.col("text").cast("string"), F.col("mtime").cast("double"))
-    return rows.mapInArrow(_chunker(chunking, as_of), CHUNKS)
+    return spread(rows).mapInArrow(_chunker(chunking, as_of), CHUNKS)

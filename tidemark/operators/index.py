@@ -18,26 +18,20 @@ def tokenised(texts: DataFrame) -> DataFrame:
     return texts.select("chunk_id", F.coalesce(terms(F.col("content")), F.array().cast("array<string>")).alias("terms"))
 
 
-def corpus_stats(tokens: DataFrame) -> DataFrame:
-    """One row: n rows and their mean number of terms, rows without terms included."""
-    return tokens.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
+def hits(tokens: DataFrame, wanted: list[str]) -> DataFrame:
+    """(chunk_id, dl, hits): the number of terms of every row, and place and term of each of the wanted ones.
 
-
-def places(tokens: DataFrame, only: list[str] | None = None) -> DataFrame:
-    """(chunk_id, dl, position, term), a row for each place of a term; of the ``only`` given terms, if any are.
-
-    The terms wanted are picked before rows are made of them, so a query makes a row for each hit, not for each word.
+    Slim, so that it can be kept while a query uses it twice: a number for each row and an entry for each hit.
     """
+    asked = F.array(*map(F.lit, wanted)) if wanted else F.array().cast("array<string>")
     numbered = F.transform("terms", lambda t, i: F.struct(i.alias("position"), t.alias("term")))
-    if only is not None:
-        wanted = F.array(*map(F.lit, only)) if only else F.array().cast("array<string>")
-        numbered = F.filter(numbered, lambda x: F.array_contains(wanted, x["term"]))
-    return tokens.select("chunk_id", F.size("terms").alias("dl"), F.inline(numbered))
+    return tokens.select("chunk_id", F.size("terms").alias("dl"), F.filter(numbered, lambda x: F.array_contains(asked, x["term"])).alias("hits"))
 
 
 def postings(tokens: DataFrame) -> DataFrame:
     """(chunk_id, term, tf, dl, positions) of every term of every row; a row's terms meet in its own task."""
-    spots = places(tokens)
+    numbered = F.transform("terms", lambda t, i: F.struct(i.alias("position"), t.alias("term")))
+    spots = tokens.select("chunk_id", F.size("terms").alias("dl"), F.inline(numbered))
     return spots.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.array_sort(F.collect_list("position")).alias("positions"))
 
 

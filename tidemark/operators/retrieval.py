@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from tidemark.config import Confidence
 from tidemark.functions import vectors as V
 from tidemark.functions.confidence import confidence, query_time
-from tidemark.operators.index import corpus_stats, places, tokenised
+from tidemark.operators.index import hits as hits_of
+from tidemark.operators.index import tokenised
+from tidemark.session import materialise
 
 #: BM25's parameters, and the weight of a term that most rows have.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -59,10 +61,11 @@ def bm25(texts: DataFrame, queries: Sequence[str]) -> DataFrame:
             phrases[tuple(p)] = phrases.get(tuple(p), 0) + 1
         parts += [(q, n, i, term, len(p), times) for n, (p, times) in enumerate(phrases.items()) for i, term in enumerate(p)]
     asked = spark.createDataFrame(parts, "query_no int, phrase_no int, part int, term string, parts int, times int")
-    tokens = tokenised(texts)
-    stats = corpus_stats(tokens)
+    # one pass over the texts; both uses below read what it leaves
+    kept = materialise(hits_of(tokenised(texts), sorted({p[3] for p in parts})), "hits")
+    stats = kept.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     n, avgdl = stats.select("n").scalar(), stats.select("avgdl").scalar()
-    spots = places(tokens, sorted({p[3] for p in parts}))
+    spots = kept.select("chunk_id", "dl", F.inline("hits"))
     # the phrases come from the caller's list of queries, so their number is known here
     hits = spots.join(F.broadcast(asked), "term")
     starts = hits.groupBy("query_no", "phrase_no", "chunk_id", (F.col("position") - F.col("part")).alias("start")).agg(F.count("*").alias("found"), F.first("parts").alias("parts"), F.first("dl").alias("dl"), F.first("times").alias("times"))

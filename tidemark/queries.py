@@ -21,6 +21,7 @@ from tidemark.operators import retrieval as R
 from tidemark.operators.index import embed_chunks, tokenised
 from tidemark.operators.snapshots import folded, snapshot_changes
 from tidemark.plans.maintenance import cascade
+from tidemark.session import materialise, spread
 from tidemark.sources.dictionary import dictionary_statistics, merge_dictionary
 from tidemark.sources.tables import current, table
 from tidemark.streaming.ingest import changes_once
@@ -45,7 +46,9 @@ def files_now(spark: SparkSession, d: str) -> DataFrame:
 
 def chunks_now(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """Current chunks; name the columns needed, the others are then never read or shuffled."""
-    return current(table(spark, d, "chunks"), *(columns or CHUNK_COLUMNS))
+    names = columns or CHUNK_COLUMNS
+    rows = table(spark, d, "chunks").select("id", "updated_at", *names)
+    return current(spread(rows) if "content" in names else rows, *names)
 
 
 def live_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -64,8 +67,18 @@ def query_vector(spark: SparkSession, d: str) -> list[float]:
     return list(found[0]) if found else [1.0] + [0.0] * (WIDTH - 1)
 
 
+def _found(spark: SparkSession, d: str, query: str = QUERY, **options) -> DataFrame:
+    """A search over the current rows, which are stored once, as an index has them, as it reads them several times."""
+    chunks = materialise(search_chunks(spark, d), "chunks-now")
+    return R.search(chunks, files_now(spark, d), vectors_of(spark, d), query, query_vector(spark, d), as_of=AS_OF, **options)
+
+
+def search_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return chunks_now(spark, d, "file_id", "content", "content_type", "section_title", "start_pos", "end_pos", "confidence_json", "is_deleted")
+
+
 def _search(spark: SparkSession, d: str, query: str = QUERY, **options) -> DataFrame:
-    rows = R.search(chunks_now(spark, d), files_now(spark, d), vectors_of(spark, d), query, query_vector(spark, d), as_of=AS_OF, **options)
+    rows = _found(spark, d, query, **options)
     return rows.select("rank", "chunk_id", "file_path", "vault_name", "section", *(F.round(c, 6).alias(c) for c in ("semantic_score", "keyword_score", "confidence_score", "final_score")))
 
 
@@ -162,8 +175,8 @@ QUERIES = {
     "hybrid_semantic_mode": lambda s, d: _search(s, d, w=R.weights("semantic")),
     "hybrid_vault_postfilter": lambda s, d: _search(s, d, vaults=VAULTS),
     "hybrid_vault_prefilter": lambda s, d: _search(s, d, vaults=VAULTS, prefilter=True),
-    "search_response": lambda s, d: R.response(R.search(chunks_now(s, d), files_now(s, d), vectors_of(s, d), QUERY, query_vector(s, d), as_of=AS_OF)),
-    "search_context": lambda s, d: stats.search_context(R.search(chunks_now(s, d), files_now(s, d), vectors_of(s, d), QUERY, query_vector(s, d), as_of=AS_OF)),
+    "search_response": lambda s, d: R.response(_found(s, d)),
+    "search_context": lambda s, d: stats.search_context(_found(s, d)),
     "cosine_matrix": lambda s, d: dedup.cosine_matrix(_ranked_vectors(s, d)).select("i", "j", F.round("similarity", 5).alias("similarity")),
     "semantic_dedup": lambda s, d: dedup.semantic_dedup(_ranked_vectors(s, d)),
     "scan_diff": lambda s, d: scan_inputs(s, d)[2],

@@ -36,6 +36,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if it is read in fewer tasks than there are cores: for costly work on small tables in one file.
+
+    A table of many files or row groups is left as it is, so nothing is shuffled at scale. ``df`` must be rows
+    of a table as read: counting the tasks of a shuffled one would run it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def release(spark: SparkSession) -> None:
     """Delete everything :func:`materialise` wrote; results that still read it must have been consumed."""
     jvm = spark.sparkContext._jvm
