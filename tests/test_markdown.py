@@ -66,6 +66,11 @@ def test_long_prose_overlaps_and_long_code_stays():
     assert [p.content_type for p in Splitter(Chunking()).split(code)] == ["code"]
 
 
+def test_other_counter():
+    words = Splitter(Chunking(max_tokens=3, overlap=0), lambda x: len(x.split())).split("a b c. d e f. g h.")
+    assert [p.content for p in words] == ["a b c.", "d e f.", "g h."]
+
+
 def test_long_sentence_is_sliced():
     found = Splitter(Chunking()).split("字" * 2000)
     assert [(p.start, p.end) for p in found] == [(0, 691), (691, 1382), (1382, 2000)]

@@ -49,6 +49,7 @@ def test_contexts(spark, tables):
     hits = spark.createDataFrame([(2, "b", "y" * 400), (1, "a", "x")], "rank int, file_path string, content string")
     assert stats.search_context(hits).first()[0] == "【文档 1】a\n内容: x\n【文档 2】b\n内容: " + "y" * 300
     assert stats.search_context(hits.limit(0)).first()[0] == "无结果"
+    assert stats.load_template(None, "x") == stats.load_template("/nowhere/t.md", "x") == "x"
     assert stats.render("{{a}} {{b}} {{c}}", {"a": "{{b}}", "b": "1"}) == "1 1 {{c}}"
 
 
@@ -62,6 +63,8 @@ def test_store(spark, tables, tmp_path):
     assert store.maintain()["purged"] and store.version() == 2
     store.drop_old()
     assert store.read("files").count() == 8 and store.maintain()["needed"] is False
+    assert store.compact(1) == 3 and store.read("files").count() == 8
+    assert store.migrate("files", ["id", "file_path"]) == 4 and store.read("files").columns == ["id", "file_path"] and store.read("chunks").count() == 56
 
 
 def test_dictionary(spark, tmp_path):

@@ -95,8 +95,9 @@ class Splitter:
     kind, which counts as text even if it begins a list or table; the next such line switches.
     """
 
-    def __init__(self, chunking: Chunking):
-        self.count = token_counter(chunking)
+    def __init__(self, chunking: Chunking, count: Callable[[str], int] | None = None):
+        """``count``: the tokens of a text, if not by numbers of characters."""
+        self.count = count or token_counter(chunking)
         self.limit, self.overlap = chunking.max_tokens, chunking.overlap
         self.max_chars = int(chunking.max_tokens * chunking.max_chars_multiplier)
         self.near_limit = int(chunking.max_tokens * 0.8 * chunking.english_chars_per_token)
@@ -209,12 +210,12 @@ def _json(value: Any) -> str:
     return json.dumps(value, ensure_ascii=False, default=lambda x: x.isoformat() if isinstance(x, dt.date) else str(x))
 
 
-def _chunker(chunking: Chunking, as_of: dt.date):
+def _chunker(chunking: Chunking, as_of: dt.date, make_counter: Callable[[], Callable[[str], int]] | None):
     names = [x.split()[0] for x in CHUNKS.split(", ")]
     types = [pa.int64(), pa.int32(), *[pa.string()] * 4, pa.int32(), pa.int32(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = Splitter(chunking)
+        splitter = Splitter(chunking, make_counter() if make_counter else None)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 rows = []
@@ -229,11 +230,13 @@ def _chunker(chunking: Chunking, as_of: dt.date):
     return run
 
 
-def split_markdown(files: DataFrame, chunking: Chunking = Chunking(), as_of: dt.date = dt.date(2024, 6, 1)) -> DataFrame:
+def split_markdown(files: DataFrame, chunking: Chunking = Chunking(), as_of: dt.date = dt.date(2024, 6, 1), make_counter: Callable[[], Callable[[str], int]] | None = None) -> DataFrame:
     """Chunks of whole files: ``files`` has file_id, text and mtime; chunk_index counts from 0 in each file.
 
+    ``make_counter`` makes, in each Python worker, what counts the tokens of a text by a tokenizer of the caller's.
+
     Positions are code points of the body after the frontmatter. Null, empty and frontmatter-only texts have no
     chunks. Line ends of all three kinds are one line feed.
     """
     rows = files.where(F.col("text").isNotNull()).select(F.col("file_id").cast("long"), F.col("text").cast("string"), F.col("mtime").cast("double"))
-    return spread(rows).mapInArrow(_chunker(chunking, as_of), CHUNKS)
+    return spread(rows).mapInArrow(_chunker(chunking, as_of, make_counter), CHUNKS)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pathlib import Path
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed value: what a chunk without a title is headed by in a reassembled document.
@@ -95,8 +97,6 @@ def document_context(chunks: DataFrame, length: int = 8000) -> DataFrame:
     Chunks that begin beyond the cut are left out before a file's are gathered, so a file of any number of chunks
     costs one task no more than the cut.
     """
-    from pyspark.sql import Window
-
     title = F.coalesce(F.nullif(F.col("section_title"), F.lit("")), F.lit(UNTITLED))
     part = F.concat(F.lit("### "), title, F.lit("\n"), F.coalesce("content", F.lit("")))
     rows = chunks.where(_live() & F.col("file_id").isNotNull()).select("file_id", "chunk_index", "id", part.alias("part"))
@@ -113,6 +113,14 @@ def search_context(results: DataFrame) -> DataFrame:
     return results.agg(F.coalesce(F.nullif(F.array_join(F.transform(parts, lambda x: x["block"]), "\n"), F.lit("")), F.lit("无结果")).alias("context"))
 
 
+def load_template(path: str | None, default: str) -> str:
+    """The text of a template file; ``default`` if there is none or it can't be read."""
+    try:
+        return Path(path).read_text(encoding="utf-8") if path else default
+    except (OSError, UnicodeDecodeError):
+        return default
+
+
 def render(template: str, values: dict[str, str]) -> str:
     """A template with each ``{{key}}`` replaced, in the order of ``values``."""
     for key, value in values.items():

@@ -45,6 +45,23 @@ class Store:
             self._fs.delete(self._path(f"{self.root}/v{n}"), True)
             self._fs.delete(self._path(f"{self.root}/CURRENT-{n}"), False)
 
+    def compact(self, files_per_table: int) -> int:
+        """The same rows in fewer, larger files, as a new version."""
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/v{self.version()}"))]
+        return self.write(**{n: self.read(n).coalesce(files_per_table) for n in names})
+
+    def migrate(self, name: str, columns: list[str]) -> int:
+        """A table with the given columns only, the others as they are; it must keep its number of rows."""
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/v{self.version()}"))]
+        before, number = self.read(name), self.version() + 1
+        for n in names:
+            (before.select(*columns) if n == name else self.read(n)).write.mode("overwrite").parquet(f"{self.root}/v{number}/{n}")
+        if self.spark.read.parquet(f"{self.root}/v{number}/{name}").count() != before.count():
+            self._fs.delete(self._path(f"{self.root}/v{number}"), True)
+            raise ValueError(f"{name}: rows were lost")
+        self._fs.create(self._path(f"{self.root}/CURRENT-{number}"), False).close()
+        return number
+
     def maintain(self, threshold: float = 20.0, force: bool = False, dry_run: bool = False) -> dict:
         """Purge if the share of deleted rows is above the threshold; what was, or would be, removed."""
         files, chunks, vectors = (self.read(x) for x in ("files", "chunks", "vectors"))
