@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.config import Confidence, load_config
 from tidemark.functions import text as T
 from tidemark.functions import vectors as V
+from tidemark.functions.segment import DictionarySegmenter, segmented, segmenter
 from tidemark.functions.confidence import QueryTime, confidence, query_time, query_time_columns, time_match
 
 
@@ -73,8 +74,18 @@ def test_text(spark):
     args = ["n.md", "A / B", "B", "project", "x"]
     path, section, title, kind, content = map(F.lit, args)
     assert column(spark, lambda _: T.index_text(path, section, title, F.array(F.lit("net"), F.lit(" "), F.lit("ops")), kind, content), "") == ["n.md n.md A / B B B #net #ops project x"]
-    assert T.segmented("  am 2024-01-05 hier. los ", str.split) == "am 2024-01-05 hier.los"
-    assert T.segmented(" a b ") == "a b"
+    assert segmented("  am 2024-01-05 hier. los ", str.split) == "am 2024-01-05 hier.los"
+    assert segmented(" a b ") == "a b"
+
+
+def test_segmentation(spark):
+    words = {"中国": 50, "联通": 40, "中国联通": 1000, "网络": 10, "优化": 10}
+    assert DictionarySegmenter(words)("中国联通网络优化 ab-c") == ["中国联通", "网络", "优化", "ab-c"]
+    assert DictionarySegmenter({**words, "中国联通": 1})("中国联通x") == ["中国", "联通", "x"]
+    assert DictionarySegmenter(words, "search")("中国联通") == ["中国", "联通", "中国联通"]
+    assert DictionarySegmenter(words)("") == [] and DictionarySegmenter({"": 1, "甲": 0})("甲乙") == ["甲", "乙"]
+    assert segmented("中国联通2024年3月5日网络 . md", segmenter(words)) == "中国联通 2024年3月5日 网络.md"
+    assert segmenter(words, "other")("网络优化") == ["网络", "优化"]
 
 
 def test_globs(spark):

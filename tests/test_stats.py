@@ -1,8 +1,10 @@
 """Statistics, upkeep, dictionary and cache."""
 
+import os
+
 import pytest
 
-from tidemark.cache import QueryCache, cache_key
+from tidemark.cache import FileCache, QueryCache, TwoLevelCache, cache_key
 from tidemark.operators import stats
 from tidemark.plans.maintenance import Store, cascade
 from tidemark.sources.dictionary import dictionary_statistics, merge_dictionary, read_dictionary, write_dictionary
@@ -60,11 +62,11 @@ def test_store(spark, tables, tmp_path):
     store.write(files=files, chunks=chunks, vectors=vectors)
     assert store.maintain(dry_run=True)["would_remove"] == {"files": 2, "chunks": 30, "vectors": 9}
     assert not store.maintain(threshold=50)["purged"] and store.version() == 1
-    assert store.maintain()["purged"] and store.version() == 2
-    store.drop_old()
+    assert store.maintain(compact=False)["purged"] and store.version() == 2
     assert store.read("files").count() == 8 and store.maintain()["needed"] is False
-    assert store.compact(1) == 3 and store.read("files").count() == 8
-    assert store.migrate("files", ["id", "file_path"]) == 4 and store.read("files").columns == ["id", "file_path"] and store.read("chunks").count() == 56
+    assert not store.maintain(force=True, clean=False)["purged"] and store.version() == 3 and "v2" not in os.listdir(tmp_path / "s")
+    assert store.compact(1) == 4 and store.read("files").count() == 8 and store.state()["file_size_mb"] >= 0 < store.bytes()
+    assert store.migrate("files", ["id", "file_path"]) == 5 and store.read("files").columns == ["id", "file_path"] and store.read("chunks").count() == 56
 
 
 def test_dictionary(spark, tmp_path):
@@ -80,12 +82,39 @@ def test_dictionary(spark, tmp_path):
     assert [tuple(r) for r in merge_dictionary(odd).collect()] == [("x", 100, "s")]
 
 
-def test_cache():
+@pytest.mark.parametrize("file", [False, True])
+def test_cache(tmp_path, file):
     now = [0.0]
-    c = QueryCache(10, 2, lambda: now[0])
+    clock = lambda: now[0]
+    c = FileCache(str(tmp_path / "x/c.db"), 10, 2, clock) if file else QueryCache(10, 2, clock)
     assert c.set("a", [1]) and c.set("b", {"x": "é"}) and c.get("a") == [1]
+    now[0] = 1
+    assert c.get("a") == [1]
     c.set("c", 3)
     assert c.get("b") is None and c.get("a") == [1] and not c.set("d", object())
-    now[0] = 11
+    now[0] = 12
     assert c.get("a") is None and c.cleanup() == 1 and c.clear() == 0 and not c.delete("a")
     assert cache_key("q", 1, ["b", "a"], 0.5, 0.5) == cache_key("q", 1, ["a", "b"], 0.5, 0.5) != cache_key("q", 1, None, 0.501, 0.499)
+
+
+def test_cache_levels(tmp_path):
+    path = str(tmp_path / "c.db")
+    first = TwoLevelCache(QueryCache(), FileCache(path))
+    assert first.set("a", [1]) and not first.set("b", object()) and first.get("a") == [1] and first.get("c") is None
+    other = TwoLevelCache(QueryCache(), FileCache(path))
+    assert other.get("a") == [1] and other.clear() == 1 and other.get("a") is None
+    held = FileCache(path)
+    held._db.execute("INSERT INTO results VALUES ('x', '{', 0, 0, 1)")
+    held.clock = lambda: 1.0
+    assert held.get("x") is None and not held.delete("x")
+    held.close()
+
+
+def test_pages_and_many_chunks(spark):
+    rows = [(i, 1, i // 3, "x", "text", None, "Root", 0, 1, False) for i in range(3000)]
+    chunks = spark.createDataFrame(rows, C)
+    first = stats.chunk_page(chunks, 1, 1000).collect()
+    assert [r.id for r in first] == list(range(1000))
+    assert [r.id for r in stats.chunk_page(chunks, 1, 10, (first[-1].chunk_index, first[-1].id)).collect()] == list(range(1000, 1010))
+    text = stats.document_context(chunks).first().context
+    assert text == "\n".join("### 正文\nx" for _ in range(3000))[:8000]

@@ -55,6 +55,8 @@ class Chunking:
     max_tokens: int = 512
     overlap: int = 50
     token_mode: str = "estimate"
+    #: A file of ranks for ``token_mode: tiktoken``; without one the library's own encoding, which it may have to fetch.
+    vocabulary: str = ""
     chinese_chars_per_token: float = 1.5
     english_chars_per_token: float = 4.0
     max_chars_multiplier: float = 2.5
@@ -63,6 +65,8 @@ class Chunking:
 @dataclass(frozen=True)
 class Model:
     name: str = "hashing"
+    cache_dir: str = "~/.cache/models"
+    size: str = "small"
     dimensions: int = 512
     batch_size: int = 32
     unload_after_seconds: int = 300
@@ -85,6 +89,10 @@ class Settings:
     retrieval: Mapping[str, float] = field(default_factory=lambda: {"alpha": 0.7, "beta": 0.3})
     maintenance: Mapping[str, Any] = field(default_factory=lambda: {"soft_delete_threshold": 0.2})
     cache: Cache = Cache()
+    jieba_user_dict: str = ""
+    jieba_seg_mode: str = "precise"
+    log_level: str = "INFO"
+    prompts: str = ""
 
 
 def _clean(value: Any) -> Any:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import base64
 import datetime as dt
 import json
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from pathlib import Path
 from typing import Any
 
 import pyarrow as pa
@@ -25,6 +28,9 @@ SENTENCE_END = re.compile(r"([。！？.!?]\s*|[；;]\s*|[\n])")
 HAN = re.compile(r"[一-鿿]")
 #: What a file without the key counts as when it is indexed.
 DEFAULT_TYPE, DEFAULT_STATUS = "blog", "已完成"
+#: The encoding tokens are counted by, and how texts are cut for a vocabulary of ranks.
+ENCODING = "cl100k_base"
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 CHUNKS = "file_id long, chunk_index int, content string, content_type string, section_title string, section_path string, start_pos int, end_pos int, metadata string, confidence_json string"
 
@@ -65,7 +71,15 @@ def confidence_factors(meta: dict, mtime: float | None, as_of: dt.date) -> dict[
 
 
 def token_counter(chunking: Chunking) -> Callable[[str], int]:
-    """Tokens of a text by its numbers of Han and other characters."""
+    """Tokens of a text as ``token_mode`` says: by its numbers of Han and other characters, or by the tiktoken library.
+
+    With ``tiktoken`` the ranks come from ``vocabulary``, else from the library's own encoding. If the library or the
+    encoding isn't there, that is an error: counting in another way would give other chunks.
+    """
+    if chunking.token_mode == "tiktoken":
+        return _library_counter(chunking.vocabulary)
+    if chunking.token_mode != "estimate":
+        raise ValueError(f"unknown token mode {chunking.token_mode}")
 
     def count(text: str) -> int:
         han = len(HAN.findall(text))
@@ -74,6 +88,20 @@ def token_counter(chunking: Chunking) -> Callable[[str], int]:
     return count
 
 
+@lru_cache(2)
+def _library_counter(vocabulary: str) -> Callable[[str], int]:
+    try:
+        import tiktoken
+    except ImportError as error:
+        raise RuntimeError("token mode tiktoken needs the tiktoken library; estimate goes without") from error
+    if vocabulary:
+        lines = (line.split() for line in Path(vocabulary).expanduser().read_bytes().splitlines() if line)
+        encoding = tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks={base64.b64decode(a): int(b) for a, b in lines}, special_tokens={})
+    else:
+        encoding = tiktoken.get_encoding(ENCODING)
+    return lambda text: len(encoding.encode_ordinary(text))
+
+
 @dataclass
 class _Block:
     """Lines gathered so far, and where the first begins."""
@@ -210,6 +238,36 @@ def _json(value: Any) -> str:
     return json.dumps(value, ensure_ascii=False, default=lambda x: x.isoformat() if isinstance(x, dt.date) else str(x))
 
 
+def chars_for_tokens(tokens: int, chunking: Chunking = Chunking()) -> int:
+    """Characters that so many tokens have at most, by the estimate."""
+    return int(tokens * chunking.english_chars_per_token)
+
+
+ABOUT = "doc_id long, doc_type string, status string, final_date string, tags string, body string"
+
+
+def abouts(documents: DataFrame, as_of: dt.date = dt.date(2024, 6, 1)) -> DataFrame:
+    """(doc_id, doc_type, status, final_date, tags, body) of (doc_id, text, mtime): what the frontmatter of each text says, and the rest.
+
+    ``tags`` is JSON. A null text has neither; line ends of all kinds are one line feed.
+    """
+    names = [x.split()[0] for x in ABOUT.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, text, mtime in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "text", "mtime")), strict=True):
+                meta, body = frontmatter(text.replace("\r\n", "\n").replace("\r", "\n"))
+                f = confidence_factors(meta, mtime, as_of)
+                tags = meta.get("tags")
+                rows.append((doc, *(None if f[k] is None else str(f[k]) for k in ("doc_type", "status", "final_date")), None if tags is None else _json(tags), body))
+            columns = zip(*rows, strict=True) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64() if k == 0 else pa.string()) for k, c in enumerate(columns)], names=names)
+
+    rows = documents.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("mtime").cast("double"))
+    return spread(rows).mapInArrow(run, ABOUT)
+
+
 def _chunker(chunking: Chunking, as_of: dt.date, make_counter: Callable[[], Callable[[str], int]] | None):
     names = [x.split()[0] for x in CHUNKS.split(", ")]
     types = [pa.int64(), pa.int32(), *[pa.string()] * 4, pa.int32(), pa.int32(), pa.string(), pa.string()]

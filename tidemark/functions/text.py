@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import fnmatch
-import re
 import unicodedata
 from functools import lru_cache
 
@@ -90,18 +89,3 @@ def in_skipped_dir(path: Column, dirs: tuple[str, ...]) -> Column:
     """Whether a directory above the file has one of the names, at any depth."""
     parts = F.split(path, "/")
     return F.arrays_overlap(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*map(F.lit, dirs))) if dirs else F.lit(False)
-
-
-#: Fixed value: a date that segmentation must leave whole.
-DATE = re.compile(r"\d{4}-\d{1,2}-\d{1,2}")
-
-
-def segmented(text: str | None, cut=None) -> str:
-    """Words set apart by blanks, dates kept whole; without a segmenter ``cut`` the stripped text as it is."""
-    if cut is None or not (text or "").strip():
-        return (text or "").strip()
-    words: list[str] = []
-    for between, date in zip([*DATE.split(text)], [*DATE.findall(text), ""], strict=True):
-        words += [w for w in cut(between) if w.strip()]
-        words += [date] if date else []
-    return re.sub(r"\s*\.\s*", ".", " ".join(words))

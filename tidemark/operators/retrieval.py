@@ -10,29 +10,36 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.config import Confidence
 from tidemark.functions import vectors as V
 from tidemark.functions.confidence import confidence, query_time
-from tidemark.operators.index import hits as hits_of
-from tidemark.operators.index import tokenised
-from tidemark.session import materialise
+from tidemark.operators.dedup import semantic_dedup
+from tidemark.operators.index import Index, TextIndex, any_of
+from tidemark.sources.tables import not_deleted
 
 #: BM25's parameters, and the weight of a term that most rows have.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Candidates of each channel and of both together, in multiples of the results wanted.
 CHANNEL, MERGED = 10, 5
+#: Results of one search at most; beyond, it is an error.
+MOST_RESULTS = 1_000
 
 
-def vector_topk(vectors: DataFrame, query: Sequence[float], n: int) -> DataFrame:
+def vector_topk(vectors: DataFrame, query: Sequence[float], n: int, unique: bool = False) -> DataFrame:
     """The ``n`` nearest chunks by Euclidean distance: (chunk_id, score), score 1 / (1 + distance).
 
     Vectors of another length or with missing or NaN numbers are no candidates; a chunk counts once, with its
-    nearest vector; ties go to the smaller chunk_id. Only the best of each task reach the last one.
+    nearest vector; ties go to the smaller chunk_id. With ``unique`` the table must have one row an id, as a stored
+    index does: only the best of each task then reach the last one, nothing is shuffled.
     """
-    rows = vectors.where(V.usable(F.col("embedding"), len(query)) & F.col("chunk_id").isNotNull())
-    near = rows.select("chunk_id", V.l2(F.col("embedding"), V.literal(query)).alias("distance")).groupBy("chunk_id").agg(F.min("distance").alias("distance"))
-    return near.select("chunk_id", (F.lit(1.0) / (F.lit(1.0) + F.col("distance"))).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(n)
+    near = vectors.where(F.col("chunk_id").isNotNull()).select("chunk_id", V.l2(F.col("embedding"), V.literal(query)).alias("distance"))
+    if not unique:
+        near = near.groupBy("chunk_id").agg(F.min("distance").alias("distance"))
+    # unusable vectors have no distance or NaN, both come last
+    best = near.orderBy(F.asc_nulls_last("distance"), "chunk_id").limit(n).where(F.col("distance").isNotNull() & ~F.isnan("distance"))
+    return best.select("chunk_id", (F.lit(1.0) / (F.lit(1.0) + F.col("distance"))).alias("score"))
 
 
 def _folded(text: str) -> str:
@@ -46,14 +53,15 @@ def query_phrases(query: str) -> list[list[str]]:
     return [p for p in found if p]
 
 
-def bm25(texts: DataFrame, queries: Sequence[str]) -> DataFrame:
+def bm25(index: TextIndex, queries: Sequence[str], within: DataFrame | None = None) -> DataFrame:
     """(query_no, chunk_id, score) of every row that has at least one phrase of the query, in the order of ``queries``.
 
-    ``texts``: (chunk_id, content). The number and mean length of rows are those of ``texts``. Words are joined
-    by OR, a repeated word counts as often; a query without a word finds nothing. Scores are rounded to nine digits,
-    so that equal ones stay equal in whatever order their parts were added.
+    Only the postings of the queries' terms are read. With ``within`` (chunk_id) the index is taken as if it held those
+    rows only; the number and mean length of rows are theirs. Words are joined by OR, a repeated word counts as often; a
+    query without a word finds nothing. Scores are rounded to nine digits, so that equal ones stay equal in whatever
+    order their parts were added.
     """
-    spark = texts.sparkSession
+    spark = index.postings.sparkSession
     parts = []
     for q, query in enumerate(queries):
         phrases: dict[tuple[str, ...], int] = {}
@@ -61,11 +69,11 @@ def bm25(texts: DataFrame, queries: Sequence[str]) -> DataFrame:
             phrases[tuple(p)] = phrases.get(tuple(p), 0) + 1
         parts += [(q, n, i, term, len(p), times) for n, (p, times) in enumerate(phrases.items()) for i, term in enumerate(p)]
     asked = spark.createDataFrame(parts, "query_no int, phrase_no int, part int, term string, parts int, times int")
-    # one pass over the texts; both uses below read what it leaves
-    kept = materialise(hits_of(tokenised(texts), sorted({p[3] for p in parts})), "hits")
-    stats = kept.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    n, avgdl = stats.select("n").scalar(), stats.select("avgdl").scalar()
-    spots = kept.select("chunk_id", "dl", F.inline("hits"))
+    spots, totals = index.of(p[3] for p in parts).select("chunk_id", "dl", "term", "position"), index.totals
+    if within is not None:
+        rows = index.lengths.join(within.select("chunk_id"), "chunk_id", "left_semi")
+        spots, totals = spots.join(within.select("chunk_id"), "chunk_id", "left_semi"), rows.agg(F.count("*").alias("n"), F.sum("dl").alias("total"))
+    n, avgdl = totals.select("n").scalar(), totals.select(F.try_divide("total", "n").alias("a")).scalar()
     # the phrases come from the caller's list of queries, so their number is known here
     hits = spots.join(F.broadcast(asked), "term")
     starts = hits.groupBy("query_no", "phrase_no", "chunk_id", (F.col("position") - F.col("part")).alias("start")).agg(F.count("*").alias("found"), F.first("parts").alias("parts"), F.first("dl").alias("dl"), F.first("times").alias("times"))
@@ -78,10 +86,10 @@ def bm25(texts: DataFrame, queries: Sequence[str]) -> DataFrame:
     return scored.groupBy("query_no", "chunk_id").agg(F.round(F.sum(part), 9).alias("score"))
 
 
-def bm25_topk(texts: DataFrame, queries: Sequence[str], n: int) -> DataFrame:
+def bm25_topk(index: TextIndex, queries: Sequence[str], n: int, within: DataFrame | None = None) -> DataFrame:
     """The ``n`` best rows of each query: (query_no, rank, chunk_id, score); ties go to the smaller chunk_id."""
     best = Window.partitionBy("query_no").orderBy(F.desc("score"), "chunk_id")
-    ranked = bm25(texts, queries).withColumn("rank", F.row_number().over(best))
+    ranked = bm25(index, queries, within).withColumn("rank", F.row_number().over(best))
     return ranked.where(F.col("rank") <= n).select("query_no", "rank", "chunk_id", "score")
 
 
@@ -110,14 +118,14 @@ def clamped(top_k: int) -> int:
     return max(1, min(int(top_k), 100))
 
 
-def enabled_vaults(requested: Sequence[str] | str | None, enabled: Sequence[str]) -> list[str] | None:
-    """The requested vaults that are enabled; all (None) if none are requested. None left is an error."""
+def enabled_vaults(requested: Sequence[str] | str | None, enabled: Sequence[str]) -> list[str]:
+    """The requested vaults that are enabled; all enabled ones if none are requested. None left of those requested is an error."""
     if not requested:
-        return None
+        return list(enabled)
     names = [x.strip() for x in requested.split(",")] if isinstance(requested, str) else list(requested)
     left = [x for x in names if x in enabled]
     if not left:
-        raise ValueError(f"none of the vaults {names} is enabled")
+        raise ValueError(f"none of the vaults {names} exists and is enabled")
     return left
 
 
@@ -134,14 +142,14 @@ def candidates(semantic: DataFrame, keyword: DataFrame) -> DataFrame:
 def scored(found: DataFrame, chunks: DataFrame, files: DataFrame, query: str, w: Weights, rules: Confidence, as_of: dt.date, vaults: Sequence[str] | None = None) -> DataFrame:
     """Candidates with their chunk, file and final score: (alpha * semantic + beta * log1p(keyword)) * confidence.
 
-    At most 20 candidates per result wanted come in, so they are the broadcast side. Flagged chunks and files and
-    other vaults are filtered here, after the candidates were cut.
+    ``found`` is the broadcast side, so it must be of a known size. Flagged chunks and files and vaults not in ``vaults``
+    (None: none is left out) are filtered here, after the candidates were cut. Contents are not read yet.
     """
-    live = ~F.coalesce("is_deleted", F.lit(False))
-    c = chunks.where(live).select(F.col("id").alias("chunk_id"), "file_id", "content", F.coalesce(F.nullif(F.col("section_title"), F.lit("")), F.lit("Root")).alias("section"), "start_pos", "end_pos", F.col("content_type").alias("chunk_type"), "confidence_json")
+    live = not_deleted()
+    c = chunks.where(live).select(F.col("id").alias("chunk_id"), "file_id", F.coalesce(F.nullif(F.col("section_title"), F.lit("")), F.lit("Root")).alias("section"), "start_pos", "end_pos", F.col("content_type").alias("chunk_type"), "confidence_json")
     f = files.where(live).select(F.col("id").alias("file_id"), "file_path", "absolute_path", "vault_name", "file_hash")
     rows = F.broadcast(F.broadcast(found).join(c, "chunk_id")).join(f, "file_id")
-    if vaults:
+    if vaults is not None:
         rows = rows.where(F.col("vault_name").isin(list(vaults)))
     rows = rows.select("*", *confidence(F.col("confidence_json"), rules, as_of, query_time(query)))
     final = (F.lit(w.alpha) * F.col("semantic_score") + F.lit(w.beta) * F.log1p(F.greatest(F.lit(0.0), F.col("keyword_score")))) * F.col("confidence_score")
@@ -155,39 +163,61 @@ def best_by_file(rows: DataFrame, key: str = "file_path") -> DataFrame:
 
 
 def search(
-    chunks: DataFrame, files: DataFrame, vectors: DataFrame, query: str, query_vector: Sequence[float], limit: int = 10, *,
-    w: Weights = Weights(0.6, 0.4), vaults: Sequence[str] | None = None, rules: Confidence | None = None, as_of: dt.date = dt.date(2024, 6, 1), prefilter: bool = False,
+    index: Index, query: str, query_vector: Sequence[float], limit: int = 10, *, w: Weights = Weights(0.6, 0.4), vaults: Sequence[str] | None = None, rules: Confidence | None = None,
+    as_of: dt.date = dt.date(2024, 6, 1), prefilter: bool = False, words: str | None = None, similar: float | None = None,
 ) -> DataFrame:
     """The ``limit`` best files for a query, one chunk each, as RESULT.
 
-    ``chunks`` and ``files`` have one row an id. Each channel gives 10 candidates per result; their best 5 per
-    result by final score are reduced to one chunk a file. Vaults are filtered after the candidates were cut, or
-    before with ``prefilter``. Both channels run whatever the weights, so rows of a muted channel may fill up
-    the result with a final score of 0. A blank query finds nothing.
+    Each channel gives 10 candidates per result; their best 5 per result by final score are reduced to one chunk a
+    file. Vaults are filtered after the candidates were cut, or before with ``prefilter``. Both channels run whatever
+    the weights, so rows of a muted channel may fill up the result with a final score of 0. A blank query finds nothing.
+    ``words``: what the full text is asked for, if not the query, such as the query segmented. ``similar``: of chunks
+    whose vectors are at least so similar only the best one is kept.
+
+    The search runs at once: the candidates, at most 20 a result, pass the driver, so that chunks and contents are read
+    by id only, from the pages that hold them. It is meant for pages of results; more than MOST_RESULTS are an error.
     """
+    spark = index.chunks.sparkSession
+    if not 0 < limit <= MOST_RESULTS:
+        raise ValueError(f"a search gives 1 to {MOST_RESULTS} results, not {limit}")
     rules = rules or Confidence.shipped()
-    live = chunks.where(~F.coalesce("is_deleted", F.lit(False)))
-    if prefilter and vaults:
-        live = live.join(files.where(F.col("vault_name").isin(list(vaults))).select(F.col("id").alias("file_id")), "file_id", "left_semi")
-    ids = live.select(F.col("id").alias("chunk_id"), "content")
-    if not query.strip():
-        ids, vectors = ids.where(F.lit(False)), vectors.where(F.lit(False))
-    inside = vectors.join(ids.select("chunk_id"), "chunk_id", "left_semi")
-    semantic = vector_topk(inside, query_vector, CHANNEL * limit)
-    keyword = bm25_topk(ids, [query], CHANNEL * limit).select("chunk_id", "score")
-    rows = scored(candidates(semantic, keyword), chunks, files, query, w, rules, as_of, vaults)
+    shape = T.StructType([T.StructField("chunk_id", T.LongType()), T.StructField("semantic_score", T.DoubleType()), T.StructField("keyword_score", T.DoubleType())])
+    got = []
+    if query.strip():
+        vectors, within = index.vectors, None
+        if prefilter and vaults is not None:
+            inside = index.files.where(F.col("vault_name").isin(list(vaults))).select(F.col("id").alias("file_id"))
+            within = index.text.lengths.join(inside, "file_id", "left_semi").select("chunk_id")
+            vectors = vectors.join(within, "chunk_id", "left_semi")
+        semantic = vector_topk(vectors, query_vector, CHANNEL * limit, unique=True)
+        keyword = bm25_topk(index.text, [words or query], CHANNEL * limit, within).select("chunk_id", "score")
+        got = candidates(semantic, keyword).collect()
+    ids = [r.chunk_id for r in got]
+    rows = scored(spark.createDataFrame(got, shape), index.chunks.where(any_of("id", ids)), index.files, query, w, rules, as_of, vaults)
     short = rows.orderBy(F.desc("final_score"), "chunk_id").limit(MERGED * limit)
-    top = best_by_file(short).orderBy(F.desc("final_score"), "chunk_id").limit(limit)
-    ranked = top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("final_score"), "chunk_id")))
-    return ranked.select(*RESULT)
+    if similar is not None:
+        short = _distinct(short, index.vectors.where(any_of("chunk_id", ids)), similar)
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("final_score"), "chunk_id")
+    top = best_by_file(short).orderBy(F.desc("final_score"), "chunk_id").limit(limit).withColumn("rank", F.row_number().over(order))
+    shown = top.select(*(c for c in RESULT if c != "content"))
+    held = shown.collect()
+    content = index.chunks.where(any_of("id", [r.chunk_id for r in held])).select(F.col("id").alias("chunk_id"), "content")
+    return content.join(F.broadcast(spark.createDataFrame(held, shown.schema)), "chunk_id").select(*RESULT)
+
+
+def _distinct(rows: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """Rows without those too similar to a better one; chunks without a vector are similar to none."""
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("final_score"), "chunk_id")
+    ranked = rows.select("chunk_id", "final_score").withColumn("rank", F.row_number().over(order)).join(vectors, "chunk_id", "left")
+    return rows.join(semantic_dedup(ranked, threshold).select("chunk_id"), "chunk_id", "left_semi")
 
 
 def response(results: DataFrame) -> DataFrame:
     """What a caller sees: rank, file, path, the first 300 characters, scores of 4 digits, reason."""
-    return results.select("rank", F.col("file_path").alias("file"), F.col("absolute_path").alias("abs_path"), F.substring("content", 1, 300).alias("content"), F.round("final_score", 4).alias("score"), F.round("confidence_score", 4).alias("confidence"), F.col("confidence_reason").alias("reason"))
+    return results.select("rank", F.col("file_path").alias("file"), F.col("absolute_path").alias("abs_path"), F.substring("content", 1, 300).alias("content"), F.round("final_score", 4).alias("score"), F.round("confidence_score", 4).alias("confidence"), "confidence_reason")
 
 
 def as_csv(results: DataFrame) -> DataFrame:
     """Ten columns for a CSV file: 200 characters of content on one line."""
     text = F.regexp_replace(F.substring("content", 1, 200), "[\r\n]+", " ")
-    return results.select("rank", "file_path", "vault_name", "section", "chunk_type", text.alias("content"), "semantic_score", "keyword_score", "confidence_score", "final_score")
+    return results.select("rank", "file_path", "absolute_path", "section", "vault_name", "chunk_type", text.alias("content"), "final_score", "confidence_score", "confidence_reason")

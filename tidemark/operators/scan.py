@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,11 @@ def _joined(files: DataFrame, disk: DataFrame) -> DataFrame:
     return files.alias("f").join(seen.alias("d"), F.col("f.absolute_path") == F.col("d.absolute_path"), "full")
 
 
+def active_files(files: DataFrame, vaults: Sequence[str]) -> DataFrame:
+    """Stored files that a scan of these vaults is compared with: files of other vaults were not looked for and can't be gone."""
+    return files.where(~F.coalesce("is_deleted", F.lit(False)) & F.col("vault_name").isin(list(vaults)))
+
+
 def to_hash(files: DataFrame, disk: DataFrame) -> DataFrame:
     """Paths on disk whose content must be read: unknown ones and those whose time or size differs. All others are unchanged."""
     return _joined(files, disk).where(F.col("d.on_disk") & _needs_hash()).select("d.absolute_path")
@@ -32,7 +39,7 @@ def to_hash(files: DataFrame, disk: DataFrame) -> DataFrame:
 def diff_snapshots(files: DataFrame, disk: DataFrame, hashes: DataFrame) -> DataFrame:
     """Changes from stored to seen files: change_type, old_id, vault_name, file_path, absolute_path, file_hash, mtime, file_size.
 
-    ``files``: stored active files, one row an id; ``disk``: the listing (repeated rows count once);
+    ``files``: stored files of ``active_files``, one row an id; ``disk``: the listing (repeated rows count once);
     ``hashes``: (absolute_path, file_hash) of the paths of ``to_hash``, those missing could not be read and are skipped.
     Known path, other hash: ``modified``; same hash: ``touched``. Of the unknown paths and the disappeared
     files with one hash, the smallest path and the smallest id are one ``moved`` file; the rest is ``new`` and ``deleted``.
@@ -112,6 +119,12 @@ def apply_to_chunks(chunks: DataFrame, changes: DataFrame, as_of: int) -> DataFr
     ))
 
 
+def retired(chunks: DataFrame, changes: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    """(chunk_id) of the stored chunks of files that changed in these ways: as many as the changes, not the index, call for."""
+    hit = changes.where(F.col("change_type").isin(list(kinds)) & F.col("old_id").isNotNull()).select(F.col("old_id").alias("file_id")).distinct()
+    return chunks.select("file_id", F.col("id").alias("chunk_id")).join(hit, "file_id", "left_semi").select("chunk_id")
+
+
 def without_deleted(index: DataFrame, chunks: DataFrame) -> DataFrame:
     """Rows of a text or vector index whose chunk is there and not flagged."""
     return index.join(chunks.where(~F.coalesce("is_deleted", F.lit(False))).select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import materialise
+
 KEYS = ("snapshot_no", "vault_name", "file_path")
 
 
@@ -50,7 +52,7 @@ def snapshot_changes(deliveries: DataFrame) -> DataFrame:
     """
     numbers = F.array_sort(F.collect_set("snapshot_no"))
     known = deliveries.agg(numbers.alias("numbers")).scalar()
-    states = snapshot_states(deliveries)
+    states = materialise(snapshot_states(deliveries), "snapshot-states")  # read as new and as old, in both directions
     place = F.array_position(known, F.col("snapshot_no"))
     new = states.where(place > 1)
     old = states.withColumn("snapshot_no", F.try_element_at(known, (place + 1).cast("int"))).where(F.col("snapshot_no").isNotNull())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, Window
@@ -9,13 +10,16 @@ from pyspark.sql import functions as F
 
 #: Fixed value: what a chunk without a title is headed by in a reassembled document.
 UNTITLED = "正文"
+#: Characters of a chunk in a reassembled document at least: the mark, a title and a line feed.
+LEAST_PART = 6
+SALTS = 32
 
 
 def _live():
     return ~F.coalesce(F.col("is_deleted"), F.lit(False))
 
 
-def _beside(one: DataFrame, *others: DataFrame) -> DataFrame:
+def beside(one: DataFrame, *others: DataFrame) -> DataFrame:
     """A single row with the columns of other single rows, as scalar subqueries."""
     return one.select("*", *(o.select(c).scalar().alias(c) for o in others for c in o.columns))
 
@@ -25,7 +29,7 @@ def overview(files: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFra
     count = lambda df, a, b: df.agg(F.count_if(_live()).alias(a), F.count_if(~_live()).alias(b))
     f, c = count(files, "active_files", "deleted_files"), count(chunks, "active_chunks", "deleted_chunks")
     v = vectors.where(F.col("embedding").isNotNull()).select("chunk_id").distinct().agg(F.count("*").alias("vectors"))
-    one = _beside(f, c, v)
+    one = beside(f, c, v)
     return one.select("*", F.round(F.col("active_chunks") / F.greatest(F.col("active_files"), F.lit(1)), 1).alias("chunks_per_file"))
 
 
@@ -36,15 +40,15 @@ def by_vault(files: DataFrame, chunks: DataFrame) -> DataFrame:
     return rows.groupBy("vault_name").agg(F.count("*").alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"))
 
 
-def recent_files(files: DataFrame, n: int = 5) -> DataFrame:
-    """The files last updated: (vault_name, file_path, updated_at, id)."""
-    return files.where(_live()).select("vault_name", "file_path", "updated_at", "id").orderBy(F.desc("updated_at"), "id").limit(n)
+def recent_files(files: DataFrame, n: int = 5, columns: Sequence[str] = ("vault_name", "file_path", "updated_at", "id")) -> DataFrame:
+    """The files last updated."""
+    return files.where(_live()).orderBy(F.desc("updated_at"), "id").limit(n).select(*columns)
 
 
 def soft_deleted(files: DataFrame, chunks: DataFrame, threshold: float = 20.0) -> DataFrame:
     """One row: deleted shares of files and chunks in percent, the larger one, and whether it is above the threshold."""
     share = lambda df, name: df.agg(F.coalesce(F.try_divide(F.count_if(~_live()) * F.lit(100.0), F.count("*")), F.lit(0.0)).alias(name))
-    one = _beside(share(files, "file_ratio"), share(chunks, "chunk_ratio"))
+    one = beside(share(files, "file_ratio"), share(chunks, "chunk_ratio"))
     most = F.greatest("file_ratio", "chunk_ratio")
     return one.select("file_ratio", "chunk_ratio", most.alias("max_ratio"), (most > threshold).alias("needed"))
 
@@ -62,7 +66,7 @@ def purge_counts(files: DataFrame, chunks: DataFrame, vectors: DataFrame) -> Dat
     c = chunks.agg(F.count_if(~_live()).alias("chunks"))
     flagged = chunks.where(~_live()).select(F.col("id").alias("chunk_id"))
     v = vectors.select("chunk_id").distinct().join(flagged, "chunk_id", "left_semi").agg(F.count("*").alias("vectors"))
-    return _beside(f, c, v)
+    return beside(f, c, v)
 
 
 def next_chunk_index(chunks: DataFrame) -> DataFrame:
@@ -76,6 +80,12 @@ def file_chunks(chunks: DataFrame, file_id: int) -> DataFrame:
     return chunks.where(_live() & (F.col("file_id") == file_id)).select(*cols).orderBy("chunk_index", "id")
 
 
+def chunk_page(chunks: DataFrame, file_id: int, size: int, after: tuple[int, int] | None = None) -> DataFrame:
+    """The next ``size`` active chunks of a file in order, after the one of that chunk_index and id."""
+    rows = chunks if after is None else chunks.where((F.col("chunk_index") > after[0]) | ((F.col("chunk_index") == after[0]) & (F.col("id") > after[1])))
+    return file_chunks(rows, file_id).limit(size)
+
+
 def file_by_hash(files: DataFrame, file_hash: str, include_deleted: bool = False, vault: str | None = None) -> DataFrame:
     """The file of a hash with the smallest id."""
     rows = files.where(F.col("file_hash") == file_hash)
@@ -94,15 +104,21 @@ def file_by_path(files: DataFrame, path: str) -> DataFrame:
 def document_context(chunks: DataFrame, length: int = 8000) -> DataFrame:
     """(file_id, context): each file's active chunks in order as ``### title`` and content, cut to ``length`` characters.
 
-    Chunks that begin beyond the cut are left out before a file's are gathered, so a file of any number of chunks
-    costs one task no more than the cut.
+    A part has at least LEAST_PART characters and a line feed, so the first few chunks of a file reach the cut. They are
+    found on ids and lengths alone, first within salts of each file, so that no task sorts all chunks of a large one;
+    only their texts are gathered.
     """
     title = F.coalesce(F.nullif(F.col("section_title"), F.lit("")), F.lit(UNTITLED))
     part = F.concat(F.lit("### "), title, F.lit("\n"), F.coalesce("content", F.lit("")))
-    rows = chunks.where(_live() & F.col("file_id").isNotNull()).select("file_id", "chunk_index", "id", part.alias("part"))
-    before = F.coalesce(F.sum(F.char_length("part") + 1).over(Window.partitionBy("file_id").orderBy("chunk_index", "id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    near = rows.withColumn("_before", before).where(F.col("_before") <= length)
-    gathered = near.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "id", "part"))).alias("parts"))
+    rows = chunks.where(_live() & F.col("file_id").isNotNull())
+    enough = length // (LEAST_PART + 1) + 2
+    small = rows.select("file_id", "chunk_index", "id", F.char_length(part).alias("n"))
+    for by in ([F.col("file_id"), F.pmod(F.xxhash64("id"), F.lit(SALTS))], [F.col("file_id")]):
+        small = small.withColumn("_at", F.row_number().over(Window.partitionBy(*by).orderBy("chunk_index", "id"))).where(F.col("_at") <= enough).drop("_at")
+    before = F.coalesce(F.sum(F.col("n") + 1).over(Window.partitionBy("file_id").orderBy("chunk_index", "id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = small.withColumn("_before", before).where(F.col("_before") <= length).select("id")
+    texts = rows.select("file_id", "chunk_index", "id", part.alias("part")).join(near, "id", "left_semi")
+    gathered = texts.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "id", "part"))).alias("parts"))
     return gathered.select("file_id", F.substring(F.array_join(F.transform("parts", lambda x: x["part"]), "\n"), 1, length).alias("context"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import shutil
 import tempfile
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_SWEPT: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,13 +27,32 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not re.match(r"local(\[|$)", context.master):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return _LOCAL_DIRS.setdefault(context.applicationId, tempfile.mkdtemp(prefix="tidemark-"))
+    if context.applicationId not in _LOCAL_DIRS:
+        made = _LOCAL_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, made, True)
+    return _LOCAL_DIRS[context.applicationId]
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder for an intermediate table of this application.
+
+    It stays while results may still read it and goes with ``release``, at the latest when the driver ends.
+    """
+    context = spark.sparkContext
+    base = f"{shared_dir(spark)}/tidemark/{context.applicationId}"
+    if context.applicationId not in _SWEPT:
+        _SWEPT.add(context.applicationId)
+        atexit.register(_delete, context._jvm, context._jsc.hadoopConfiguration(), base)
+    return f"{base}/{uuid.uuid4().hex}-{label}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write ``df`` once to the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    This runs ``df`` at once, while a plan is built.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}-{label}"
+    path = scratch(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -39,18 +60,25 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores, if it is read in fewer tasks than there are cores: for costly work on small tables in one file.
 
-    A table of many files or row groups is left as it is, so nothing is shuffled at scale. ``df`` must be rows
-    of a table as read: counting the tasks of a shuffled one would run it.
+    A choice by size that changes no result: a table of many files or row groups is left as it is, so nothing is
+    shuffled at scale. ``df`` must be rows of a table as read: counting the tasks of a shuffled one would run it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def _delete(jvm, configuration, path: str) -> None:
+    try:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(configuration).delete(folder, True)
+    except Exception:  # noqa: BLE001 - at the end of a driver its JVM may be gone
+        pass
+
+
 def release(spark: SparkSession) -> None:
-    """Delete everything :func:`materialise` wrote; results that still read it must have been consumed."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidemark")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete every intermediate table of this application; results that still read them must have been consumed."""
+    context = spark.sparkContext
+    _delete(context._jvm, context._jsc.hadoopConfiguration(), f"{shared_dir(spark)}/tidemark/{context.applicationId}")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

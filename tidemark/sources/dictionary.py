@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import logging
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+log = logging.getLogger(__name__)
+
 #: Fixed value: frequency of a word whose own is no number.
 DEFAULT_FREQ = 100
 
@@ -42,3 +47,17 @@ def dictionary_statistics(merged: DataFrame) -> DataFrame:
 def write_dictionary(merged: DataFrame, path: str) -> None:
     """Lines ``word freq n``, the most frequent first, then by word."""
     merged.orderBy(F.desc("freq"), "word").select(F.concat_ws(" ", "word", F.col("freq").cast("string"), F.lit("n"))).write.mode("overwrite").text(path)
+
+
+def words_of(spark: SparkSession, path: str) -> dict[str, int]:
+    """A user dictionary's words with their frequencies, for a segmenter: a word list written by hand, which the driver holds.
+
+    None at ``path`` is an empty one, with a warning.
+    """
+    if not path:
+        return {}
+    file = Path(path).expanduser()
+    if not file.exists():
+        log.warning("no dictionary at %s", file)
+        return {}
+    return {r.word: r.freq for r in merge_dictionary(read_dictionary(spark, [str(file.absolute())])).collect()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import os
 from collections.abc import Iterable
 
@@ -12,6 +13,8 @@ from pyspark.sql import types as T
 from tidemark.config import Excludes, Vault
 from tidemark.functions.text import excluded
 
+log = logging.getLogger(__name__)
+
 #: Folders never entered.
 SKIPPED_DIRS = (".git", ".obsidian", ".trash", ".Trash", "node_modules", "__pycache__", ".venv", "venv", ".idea", ".vscode")
 
@@ -74,20 +77,12 @@ def list_vault(spark: SparkSession, vaults: Iterable[Vault], excludes: Excludes
     return out
 
 
-def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(absolute_path, file_hash, text) of files named by path: SHA-256 of the bytes, and UTF-8 text with line feeds.
+def read_listed(listing: DataFrame) -> DataFrame:
+    """(absolute_path, file_hash, text) of the files of a listing: SHA-256 of the bytes, and UTF-8 text with line feeds.
 
-    The text of a file that is no UTF-8 is null; files that can't be read are left out.
+    Read where the listing's rows are, so no list of paths passes the driver; one row at a time leaves a task, as a file
+    may be of any size. The text of a file that is no UTF-8 is null; files that can't be read are left out.
     """
-    if not paths:
-        return spark.createDataFrame([], "absolute_path string, file_hash string, text string")
-    raw = spark.read.format("binaryFile").option("ignoreMissingFiles", True).load(paths)
-    text = F.regexp_replace(F.try_validate_utf8(F.col("content").cast("string")), "\r\n?", "\n")
-    return raw.select(F.regexp_replace("path", "^file:/+", "/").alias("absolute_path"), F.sha2("content", 256).alias("file_hash"), text.alias("text"))
-
-
-def read_listed(listing: DataFrame) -> DataFrame:
-    """The same for a listing of any length, read where its rows are: no list of paths passes the driver."""
 
     def read(batches):
         import hashlib
@@ -99,11 +94,13 @@ def read_listed(listing: DataFrame) -> DataFrame:
                 try:
                     with open(path, "rb") as f:
                         raw = f.read()
-                except OSError:
+                except OSError as error:
+                    log.warning("left out %s: %s", path, error)
                     continue
                 try:
                     text = raw.decode("utf-8").replace("\r\n", "\n").replace("\r", "\n")
-                except UnicodeDecodeError:
+                except UnicodeDecodeError as error:
+                    log.warning("no text in %s: %s", path, error)
                     text = None
                 yield pd.DataFrame({"absolute_path": [path], "file_hash": [hashlib.sha256(raw).hexdigest()], "text": [text]})
 

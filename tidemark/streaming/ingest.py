@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators.snapshots import snapshot_changes
-from tidemark.session import shared_dir
+from tidemark.session import scratch
 
 
 def ingest(spark: SparkSession, source: str, store: str, progress: str) -> None:
@@ -27,6 +25,6 @@ def ingest(spark: SparkSession, source: str, store: str, progress: str) -> None:
 
 def changes_once(spark: SparkSession, source: str) -> DataFrame:
     """Changes between the full snapshots found in a folder of deliveries, taken in as a stream."""
-    base = f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}-stream"
+    base = scratch(spark, "stream")
     ingest(spark, source, f"{base}/store", f"{base}/progress")
     return snapshot_changes(spark.read.parquet(f"{base}/store"))
