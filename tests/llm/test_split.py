@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -17,6 +18,10 @@ PARTS = ["a", "word ", "中", "。", "\n", "\r\n", "\n\n", ". ", "e\u0301", "x"
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from(PARTS), max_size=120).map("".join), st.integers(3, 40), st.integers(0, 60))
 def test_any_text(text, limit, overlap):
+    if overlap >= limit:
+        with pytest.raises(ValueError):
+            S.pieces(text, limit, overlap)
+        return
     found = S.pieces(text, limit, overlap)
     if not text:
         assert found == []
@@ -24,7 +29,7 @@ def test_any_text(text, limit, overlap):
     assert found[0][0] == 0 and found[-1][1] == len(text)
     assert all(S.size(text[a:b]) <= limit for a, b in found)
     for (a, b), (c, d) in zip(found[:-1], found[1:], strict=True):
-        assert a < c <= b < d and S.size(text[c:b]) <= min(overlap, limit // 2)
+        assert a < c <= b < d and S.size(text[c:b]) <= overlap
 
 
 def test_doubling_finds_what_a_loop_finds():
@@ -39,6 +44,16 @@ def test_doubling_finds_what_a_loop_finds():
     assert (following[:-1] > np.arange(len(text))).all() and (end[:-1] > np.arange(len(text))).all()
 
 
+@pytest.mark.parametrize("overlap", [10, 30, 49])
+def test_overlap_beyond_half_the_limit(overlap):
+    text = "some words of a plain text that goes on " * 60
+    found = S.pieces(text, 50, overlap)
+    shared = [S.size(text[c:b]) for (_, b), (c, _) in zip(found, found[1:], strict=False)]
+    assert max(shared) <= overlap and min(shared) >= 0.6 * overlap and sorted(shared)[len(shared) // 2] >= 0.85 * overlap
+    with pytest.raises(ValueError):
+        S.pieces(text, 0, 0)
+
+
 def test_natural_places():
     text = "One two three four five. Six seven eight nine ten. Eleven twelve thirteen. Fourteen fifteen sixteen."
     assert [text[a:b] for a, b in S.pieces(text, 13, 0)] == ["One two three four five. Six seven eight nine ten. ", "Eleven twelve thirteen. Fourteen fifteen sixteen."]
@@ -58,4 +73,7 @@ def test_table(spark):
     assert [r.piece_no for r in one] == list(range(len(one))) and one[0].start_pos == 100 and one[-1].end_pos == 100 + len(long)
     assert all(long[r.start_pos - 100 : r.end_pos - 100] == r.content and r.n_tokens <= 100 and r.section_path == "A / B" for r in one)
     assert [r.start_pos for r in found if r.chunk_id == 2][0] == 0
+    assert {tuple(r) for r in S.checked(df, limits).collect()} == {(1, True, True, True), (2, True, True, True)}
+    with pytest.raises(ValueError):
+        S.oversized_pieces(df, spark.createDataFrame([("text", 10, 10, "q")], LIMITS))
     assert S.oversized_pieces(df.limit(0), limits).count() == 0 and S.oversized_pieces(df, limits.limit(0)).count() == 0

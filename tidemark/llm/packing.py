@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.tokens import VOCABULARY, load, transducer
 from tidemark.operators.snapshots import folded
-from tidemark.session import spread
+from tidemark.session import materialise, spread
 
 CAPACITY = 2_048
 #: Texts packed together in one task; more make hardly fuller containers.
@@ -138,9 +138,13 @@ def packed(documents: DataFrame, capacity: int = CAPACITY, strict: bool = False,
     A text of at most ``capacity`` tokens is one row; a longer one is cut into full containers and a remainder
     packed like a text. Texts are spread over groups of about ``group`` by a hash of doc_id and packed group by
     group, so any number of texts from one source or cluster is spread, too. Only keys and sizes are shuffled.
-    Null and empty texts are one row of 0 tokens; rows with a null doc_id are packed as well. An empty table has no containers.
+    The number of groups comes from a count of the table, run while the plan is built. Null and empty texts are one row of 0 tokens; rows with a null doc_id are packed as well. An empty table has no containers.
     """
-    groups = max(1, round(documents.count() / group))
+    return _packed(sized(documents, path), capacity, strict, group, documents.count())
+
+
+def _packed(sizes: DataFrame, capacity: int, strict: bool, group: int, rows_in_all: int | None = None) -> DataFrame:
+    groups = max(1, round((sizes.count() if rows_in_all is None else rows_in_all) / group))
     names = ["container_id", "doc_id", "piece_no", "first_token", "n_tokens"]
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -151,7 +155,7 @@ def packed(documents: DataFrame, capacity: int = CAPACITY, strict: bool = False,
         out = [(base + number, doc, piece, first, n) for doc, pieces in zip(ids, found, strict=True) for number, piece, first, n in pieces]
         return pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
-    rows = sized(documents, path).withColumn("_group", F.pmod(F.xxhash64(F.lit("pack"), "doc_id"), F.lit(groups)))
+    rows = sizes.withColumn("_group", F.pmod(F.xxhash64(F.lit("pack"), "doc_id"), F.lit(groups)))
     return rows.groupBy("_group").applyInPandas(run, PACKED)
 
 
@@ -164,3 +168,22 @@ def fill(containers: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         (F.sum("n") / (F.count("*") * F.lit(capacity))).alias("used"),
         F.ceil(F.sum("n") / F.lit(capacity)).alias("least_containers"),
     )
+
+
+def checked(documents: DataFrame, capacity: int = CAPACITY, path: str = VOCABULARY) -> DataFrame:
+    """(doc_id, whole, within): whether a text lies in containers with all its tokens, unsplit unless it is longer than one, and none of them is too full."""
+    sizes = materialise(sized(documents, path), "sizes")
+    rows = materialise(_packed(sizes, capacity, False, GROUP), "packed")
+    full = rows.groupBy("container_id").agg(F.sum("n_tokens").alias("used"))
+    each = rows.join(full, "container_id").groupBy("doc_id").agg(F.sum("n_tokens").alias("placed"), F.count("*").alias("pieces"), F.max("used").alias("used"))
+    found = sizes.join(each, sizes["doc_id"].eqNullSafe(each["doc_id"]), "left").select(sizes["doc_id"], "n_tokens", "placed", "pieces", "used")
+    whole = (F.col("placed") == F.col("n_tokens")) & (F.col("pieces") == F.greatest(F.ceil(F.col("n_tokens") / F.lit(capacity)), F.lit(1)))
+    return found.select("doc_id", F.coalesce(whole, F.lit(False)).alias("whole"), F.coalesce(F.col("used") <= capacity, F.lit(False)).alias("within"))
+
+
+def conflicts(documents: DataFrame, capacity: int = CAPACITY, strict: bool = False, path: str = VOCABULARY) -> DataFrame:
+    """One row, what had to be let pass: n_containers, and those that hold texts of one source, or of one cluster, more than once."""
+    sizes = materialise(sized(documents, path), "sizes")
+    rows = _packed(sizes, capacity, strict, GROUP).where(F.col("n_tokens") > 0).join(sizes.select("doc_id", "source_key", "cluster_key"), "doc_id")
+    each = rows.groupBy("container_id").agg(*((F.count("*") > F.count_distinct(k)).alias(k) for k in ("source_key", "cluster_key")))
+    return each.agg(F.count("*").alias("n_containers"), F.count_if("source_key").alias("with_shared_sources"), F.count_if("cluster_key").alias("with_shared_clusters"))

@@ -12,6 +12,7 @@ QUERIES = {
     "p2_classes": lambda spark, d: near.similarity_classes(table(spark, d, "chunks")),
     "p3_pieces": lambda spark, d: split.oversized_pieces(table(spark, d, "chunks"), table(spark, d, "chunk_limits")),
     "p3_found": lambda spark, d: split.oversized_pieces(table(spark, d, "chunks"), table(spark, d, "chunk_limits")).select("chunk_id").distinct(),
+    "p3_checked": lambda spark, d: split.checked(table(spark, d, "chunks"), table(spark, d, "chunk_limits")),
     "p4_found": lambda spark, d: neighbours.similar_pairs(table(spark, d, "vectors")),
     "p4_neighbours": lambda spark, d: neighbours.nearest(table(spark, d, "vectors"), recall=0.95, asked=F.col("chunk_id") % 20 == 0),
     "p5_found": lambda spark, d: copies.duplicate_copies(table(spark, d, "files"), table(spark, d, "chunks")),
@@ -20,6 +21,8 @@ QUERIES = {
     "p6_round_trip": lambda spark, d: tokens.round_trip(table(spark, d, "documents")),
     "p7_packed": lambda spark, d: packing.packed(table(spark, d, "documents")),
     "p7_fill": lambda spark, d: packing.fill(packing.packed(table(spark, d, "documents"))),
+    "p7_checked": lambda spark, d: packing.checked(table(spark, d, "documents")),
+    "p7_conflicts": lambda spark, d: packing.conflicts(table(spark, d, "documents")),
     "p8_found": lambda spark, d: language.mislabelled(table(spark, d, "documents"), table(spark, d, "lang_samples")),
     "p8_segments": lambda spark, d: language.segments(table(spark, d, "documents"), table(spark, d, "lang_samples")),
 }
@@ -45,8 +48,7 @@ WITH f AS (
     THEN array_to_string(list_sort(list_transform(fields, lambda x: x[1] || '=' || x[2])), chr(10)) ELSE plain END AS k FROM parts
 )"""
 
-SQL = {
-    "p3_found": r"""
+_OVERSIZED = r"""
 WITH c AS (
   SELECT id, arg_max(struct_pack(d := coalesce(is_deleted, false), t := content, y := content_type), coalesce(updated_at, -9e18)) AS s FROM chunks WHERE id IS NOT NULL GROUP BY id
 ), l AS (SELECT content_type, max(max_tokens) AS max_tokens FROM chunk_limits GROUP BY content_type),
@@ -54,8 +56,13 @@ z AS (
   SELECT id, s.y AS content_type, length(regexp_replace(regexp_replace(s.t, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '[^\x{4E00}-\x{9FFF}]+', '', 'g')) AS h,
          length(regexp_replace(s.t, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS n
   FROM c WHERE NOT s.d AND s.t IS NOT NULL
-)
-SELECT id AS chunk_id FROM z JOIN l USING (content_type) WHERE (8 * h + 3 * (n - h)) // 12 > max_tokens""",
+), o AS (SELECT id AS chunk_id FROM z JOIN l USING (content_type) WHERE (8 * h + 3 * (n - h)) // 12 > max_tokens)"""
+
+SQL = {
+    "p3_found": _OVERSIZED + " SELECT chunk_id FROM o",
+    "p3_checked": _OVERSIZED + " SELECT chunk_id, true AS within, true AS covers, true AS shares FROM o",
+    "p6_round_trip": "SELECT doc_id, length(coalesce(text, '')) AS n_chars, true AS same FROM documents",
+    "p7_checked": "SELECT doc_id, true AS whole, true AS within FROM documents",
     "p5_found": _CANONICAL
     + """, g AS (SELECT kind, id, min(id) OVER (PARTITION BY kind, k) AS keep_id FROM keyed)
 SELECT kind, keep_id, id AS copy_id FROM g WHERE id <> keep_id""",

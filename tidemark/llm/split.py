@@ -8,18 +8,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import kernel as K
-from tidemark.sources.tables import not_deleted
+from tidemark.sources.tables import current, not_deleted
 
 #: Twelfths of a token: a Han character weighs 1 / 1.5, any other 1 / 4.
 HAN, OTHER, TOKEN = 8, 3, 12
 #: A piece may end before the limit, at a better place, if it keeps this share of the limit.
 LEAST_FILL = 0.5
 #: An overlap may begin later, at a better place, if it keeps this share of its length.
-LEAST_OVERLAP = 0.5
+LEAST_OVERLAP = 0.9
 
 PIECES = "chunk_id long, piece_no int, section_path string, content string, start_pos int, end_pos int, n_tokens int"
 
@@ -104,9 +104,13 @@ def successors(codes: np.ndarray, limit: int, overlap: int) -> tuple[np.ndarray,
         place = _next(level >= better)[begin]
         start = np.where((place <= half) & (place < at), place, start)
     following = np.where(end < n, start[end], n)
-    # a start from which the piece would end no later than this one is no start: begin at this end then
-    stuck = (following <= at) | (end[np.minimum(following, n)] <= end)
-    following = np.where(stuck & (end < n), end, following)
+    # a start from which the piece would end no later than this one is no start: the next place is then, up to this end
+    onward = _next(allowed)
+    stuck = np.flatnonzero((end < n) & ((following <= at) | (end[np.minimum(following, n)] <= end)))
+    while len(stuck):
+        later = np.minimum(onward[np.minimum(np.maximum(following[stuck], stuck) + 1, n)], end[stuck])
+        following[stuck] = later
+        stuck = stuck[(later < end[stuck]) & (end[later] <= end[stuck])]
     return end, following
 
 
@@ -126,12 +130,16 @@ def greedy_cuts(following: np.ndarray) -> np.ndarray:
 
 
 def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
-    """(start, end) of the pieces of a text, which together cover it; none for an empty text."""
+    """(start, end) of the pieces of a text, which together cover it; none for an empty text.
+
+    ``limit`` is at least 1 and ``overlap`` from 0 to below it; anything else is a ValueError.
+    """
+    if limit < 1 or not 0 <= overlap < limit:
+        raise ValueError(f"no pieces of {limit} tokens share {overlap}")
     if not text:
         return []
     codes, _ = K.flatten([text])
-    limit = max(1, limit)
-    end, following = successors(codes, limit, max(0, min(overlap, limit // 2)))
+    end, following = successors(codes, limit, overlap)
     starts = greedy_cuts(following)
     return list(zip(starts.tolist(), end[starts].tolist(), strict=True))
 
@@ -163,12 +171,16 @@ def oversized_pieces(chunks: DataFrame, limits: DataFrame) -> DataFrame:
 
     Result: chunk_id, piece_no (from 0), section_path, content (an exact slice of the chunk's), start_pos and
     end_pos in the file (the chunk's start_pos, 0 if null, plus the slice's bounds), n_tokens. Pieces are within
-    the limit and cover the whole content; neighbours share at most ``overlap_tokens`` (and at most half the
-    limit). Null, empty and small contents, types without a limit and null limits give no pieces; repeated rows
-    count once; a limit below 1 is taken as 1 (a character is never cut).
+    the limit and cover the whole content; neighbours share at most ``overlap_tokens``, and nine tenths of them where
+    the text has places to begin at. Null, empty and small contents, types without a limit and null limits give no
+    pieces; a null overlap is none; repeated rows count once. A limit below 1, an overlap below 0 or not below its
+    limit is a ValueError, found in the small table of limits before anything is cut.
     """
     limit = limits.where(F.col("content_type").isNotNull()).groupBy("content_type").agg(F.max(F.struct("max_tokens", "overlap_tokens")).alias("l"))
     limit = limit.select("content_type", "l.max_tokens", "l.overlap_tokens").where(F.col("max_tokens").isNotNull())
+    share = F.coalesce("overlap_tokens", F.lit(0))
+    if wrong := limit.where((F.col("max_tokens") < 1) | (share < 0) | (share >= F.col("max_tokens"))).head():
+        raise ValueError(f"{wrong.content_type}: no pieces of {wrong.max_tokens} tokens share {wrong.overlap_tokens}")
     # no text can be too large that is within the limit with every character Han
     large = (
         chunks.where(F.col("content").isNotNull() & not_deleted() & F.col("id").isNotNull())
@@ -180,3 +192,22 @@ def oversized_pieces(chunks: DataFrame, limits: DataFrame) -> DataFrame:
     newest = chunks.where(F.col("id").isNotNull()).groupBy("id").agg(F.max("updated_at").alias("newest"))
     rows = large.join(newest, "id").where(F.col("updated_at").eqNullSafe(F.col("newest"))).drop("newest").dropDuplicates(["id"])
     return rows.mapInArrow(_splitter, PIECES)
+
+
+def checked(chunks: DataFrame, limits: DataFrame) -> DataFrame:
+    """(chunk_id, within, covers, shares) of each chunk that is cut: whether every piece is within the limit, the pieces
+    cover it without a gap, and neighbours share no more than they may."""
+    limit = limits.groupBy("content_type").agg(F.max(F.struct("max_tokens", "overlap_tokens")).alias("l"))
+    found = oversized_pieces(chunks, limits)
+    order = Window.partitionBy("chunk_id").orderBy("piece_no")
+    text = F.regexp_replace("shared", r"(?U)^\s+|\s+$", "")
+    han = F.char_length(F.regexp_replace(text, r"[^\x{4e00}-\x{9fff}]+", ""))
+    size_of = F.floor((han * HAN + (F.char_length(text) - han) * OTHER) / F.lit(TOKEN))
+    rows = found.withColumn("before", F.lag("end_pos").over(order)).withColumn("next", F.lead("start_pos").over(order))
+    rows = rows.withColumn("shared", F.expr("substring(content, 1, greatest(before - start_pos, 0))"))
+    kinds = current(chunks.select("id", "updated_at", "content_type", F.coalesce("start_pos", F.lit(0)).alias("base"), F.char_length("content").alias("length")), "content_type", "base", "length").withColumnRenamed("id", "chunk_id")
+    rows = rows.join(kinds, "chunk_id").join(F.broadcast(limit), "content_type")  # a row a content type
+    touching = (F.col("before").isNull() & (F.col("start_pos") == F.col("base"))) | ((F.col("start_pos") <= F.col("before")) & (F.col("end_pos") > F.col("before")))
+    ending = F.col("next").isNotNull() | (F.col("end_pos") == F.col("base") + F.col("length"))
+    share = F.col("before").isNull() | (size_of <= F.coalesce("l.overlap_tokens", F.lit(0)))
+    return rows.groupBy("chunk_id").agg(F.bool_and(F.col("n_tokens") <= F.col("l.max_tokens")).alias("within"), F.bool_and(touching & ending).alias("covers"), F.bool_and(share).alias("shares"))
