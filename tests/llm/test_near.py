@@ -3,6 +3,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from tidemark.llm import kernel as K
@@ -74,20 +76,65 @@ def test_same_shingles_in_other_texts(spark):
     assert [tuple(r) for r in N.similar_pairs(table(spark, rows)).collect()] == [(1, 2)] and brute(rows) == {(1, 2)}
 
 
-def test_long_runs_go_by_blocks(spark, monkeypatch):
-    monkeypatch.setattr(N, "BLOCK", 8)
+def test_exact_finds_all(spark):
+    rows = corpus(8, 60)
+    assert {tuple(r) for r in N.similar_pairs(table(spark, rows), exact=True).collect()} == brute(rows)
+
+
+def test_every_two_entries_meet_once():
     rng = np.random.default_rng(0)
-    entries = np.zeros(50, N.ENTRY)
-    entries["key"], entries["text_class"] = 5, np.arange(50)
-    entries["bits"] = rng.integers(0, 2**63, 50, dtype=np.uint64)
-    entries["bits"][[3, 9, 30, 49]] = 77
-    pairs, blocks = N._runs(entries, 0.5, 0.002)
+    tasks = N.Tasks.of(4, {1: 100, 3: 41}, 20)
+    assert tasks.parts.tolist() == [1, 5, 1, 3] and tasks.first.tolist() == [0, 1, 16, 17]
+    bucket, classes = rng.integers(0, 4, 300), np.arange(300)
+    met: dict = {}
+    for at, task, cross, side in tasks.spread(bucket, classes):
+        for i, t, c, s in zip(at.tolist(), task.tolist(), cross.tolist(), side.tolist(), strict=True):
+            met.setdefault(t, []).append((i, c, s))
+    pairs = [(min(i, j), max(i, j)) for m in met.values() for i, c, s in m for j, _, o in m if i < j and (not c or s != o)]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {(i, j) for i in range(300) for j in range(i + 1, 300) if bucket[i] == bucket[j]}
+    assert all(len({c for _, c, _ in m}) == 1 for m in met.values())
+
+
+def hot(n, run):
+    """Band entries of n texts, those of the first ``run`` texts with one key in band 0; every tenth has the bits of the one before."""
+    rng = np.random.default_rng(0)
+    bands = rng.integers(0, 2**32, (n, N.BANDS), dtype=np.uint32).astype("<u4")
+    bands[:run, 0] = 7
+    bits = rng.integers(0, 2**63, n, dtype=np.int64)
+    bits[9::10] = bits[8::10][: len(bits[9::10])]
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array([x.tobytes() for x in bands], pa.binary()), pa.array(bits)], names=["text_class", "bands", "bits"])
+
+
+def test_one_band_of_fifty_thousand_texts():
+    n, buckets = 50_000, 64
+    batch = hot(n, n)
+    sizes = next(N._counter(buckets, True)([batch]))
+    large = {b: k for b, k in zip(sizes.column("bucket").to_pylist(), sizes.column("n").to_pylist(), strict=True) if k > 2 * (n * N.BANDS // buckets) // 2 + n // 2}
+    assert len(large) == 1
+    tasks = N.Tasks.of(buckets, large, N.HOT // 8)
+    (bucket,) = large
+    own = range(int(tasks.first[bucket]), int(tasks.first[bucket] + tasks.parts[bucket] * (tasks.parts[bucket] + 1) // 2))
+    rows = [pa.Table.from_batches([x]) for x in N._banded(tasks, True)([batch])]
+    mine = pa.concat_tables(rows).sort_by("task")
+    mine = mine.filter(pc.is_in(mine["task"], pa.array(own, pa.int32())))
+    held = pc.sum(pc.binary_length(mine["entries"])).as_py() / N.ENTRY.itemsize
+    assert held == sum(large.values()) * tasks.parts[bucket] and len(own) > 10
+    # every pair of equal bits comes out, whichever parts its texts are in
     got = set()
-    for left, right in blocks:
-        batch = N._candidate_batch([], [(left, right)])
-        for out in N._block_matcher(0.5, 0.002)([batch.select(["left_block", "right_block"])]):
-            got |= set(zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True))
-    assert not pairs and {(3, 9), (3, 30), (3, 49), (9, 30), (9, 49), (30, 49)} <= got
+    for out in N._matcher(0.95, 0.01)(mine.select(["task", "is_cross", "side", "entries"]).to_batches()):
+        got |= set(zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True))
+    assert {(i, i + 1) for i in range(8, n - 1, 10)} <= got
+
+
+def test_split_buckets_lose_nothing(spark, monkeypatch):
+    rows = corpus(4, 30)
+    monkeypatch.setattr(N, "HOT", 8)
+    monkeypatch.setattr(N, "BUCKET", 1 << 20)
+    real = N.Tasks.of
+    seen = []
+    monkeypatch.setattr(N.Tasks, "of", classmethod(lambda cls, buckets, large, part: seen.append(buckets) or real(buckets, {b: 60 for b in range(buckets)}, 20)))
+    got = {tuple(r) for r in N.similar_pairs(table(spark, rows)).collect()}
+    assert seen and got <= brute(rows) and len(got) >= 0.98 * len(brute(rows))
 
 
 def test_pruning_keeps_what_can_reach_the_threshold():

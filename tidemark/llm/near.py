@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -16,20 +17,21 @@ from tidemark.session import materialise, shuffle_partitions, spread
 from tidemark.sources.tables import not_deleted
 
 #: A pair is a candidate if all ROWS MinHash values of one of BANDS bands agree. At a similarity of 0.5 a pair is
-#: missed with (1 - 0.5 ** ROWS) ** BANDS = 7.6 %, at 0.6 with 0.4 %, at 0.7 with 0.002 %.
-BANDS, ROWS = 40, 4
+#: missed with (1 - 0.5 ** ROWS) ** BANDS = 0.5 %, at 0.6 with 0.006 %, at 0.7 with less than one in ten million.
+BANDS, ROWS = 40, 3
 #: Values compared at a time, and how likely a pair must still be to reach the threshold.
 STEP, STEPS, TOLERANCE = 16, 4, 0.002
-#: Texts of one band key compared in one task; a larger run is split into pairs of blocks.
-BLOCK = 16_384
-#: Bytes of band entries in one bucket.
-BUCKET_BYTES = 8 << 20
+#: Band entries of a bucket on average; buckets of more than HOT are split, into parts of at most half as many.
+BUCKET, HOT = 16_384, 65_536
+MOST_BUCKETS = 1 << 18
+#: Slots that the exact search counts shingles in, to know the rare ones.
+SLOTS = 1 << 20
 
 SKETCH = "id long, updated_at long, gone boolean, k1 long, k2 long, text_class long, bands binary, bits long"
-ENTRIES = "bucket int, entries binary"
-CANDIDATES = "a long, b long, left_block binary, right_block binary"
+ENTRIES = "task int, is_cross boolean, side boolean, entries binary"
 PAIRS = "a long, b long"
-ENTRY = np.dtype([("key", "<u4"), ("text_class", "<i8"), ("bits", "<u8")])
+SETS = "text_class long, shingles binary"
+ENTRY = np.dtype([("key", "<u2"), ("text_class", "<i8"), ("bits", "<u8")])
 
 
 @lru_cache(1)
@@ -58,27 +60,67 @@ def _pack_bits(signatures: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), axis=1, bitorder="little").view("<u8").ravel()
 
 
-def _sketcher(words: int, min_tokens: int):
+def _band_keys(signatures: np.ndarray) -> np.ndarray:
+    """A number of 32 bits for the ROWS values of each band, a row each text."""
+    rows = signatures[:, : BANDS * ROWS].reshape(len(signatures), BANDS, ROWS).astype(np.uint64)
+    key = rows[:, :, 0]
+    for k in range(1, ROWS):
+        key = K.mix(key) + rows[:, :, k]
+    return (K.mix(key) >> np.uint64(32)).astype("<u4")
+
+
+def _text_shingles(texts: list[str], words: int, min_tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of the texts that are long enough, grouped by text, and the text of each."""
+    hashes, owner = K.token_hashes(*K.flatten(texts))
+    enough = np.bincount(owner, minlength=len(texts)) >= max(min_tokens, words)
+    return K.unique_by_owner(*K.shingles(hashes[enough[owner]], owner[enough[owner]], words))
+
+
+def _frequencies(rows: DataFrame, words: int, min_tokens: int) -> np.ndarray:
+    """How many rows have a shingle of each of SLOTS slots: an array of a fixed size, whatever the rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            texts = [(x or "").lower() for x in batch.column("content").to_pylist()]
+            for lo, hi in K.slices(texts):
+                values, _ = _text_shingles(texts[lo:hi], words, min_tokens)
+                total += np.bincount((values % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
+
+    found = rows.select("content").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS rows
+    out = np.zeros(SLOTS, np.int64)
+    out[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def _prefixes(values: np.ndarray, starts: np.ndarray, threshold: float, frequency: np.ndarray) -> list[bytes]:
+    """Of each text the shingles of which a similar text must share one: in an order that is the same for all texts, rare
+    ones first, all but the last ``ceil(threshold * n) - 1``."""
+    owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(values))))
+    values = values[np.lexsort((values, frequency[(values % np.uint64(SLOTS)).astype(np.int64)], owner))]
+    ends = np.append(starts[1:], len(values))
+    return [(values[a : b - int(np.ceil(threshold * (b - a) - 1e-9)) + 1] >> np.uint64(32)).astype("<u4").tobytes() for a, b in zip(starts, ends, strict=True)]
+
+
+def _sketcher(words: int, min_tokens: int, exact: float | None, frequency):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [(x or "").lower() for x in batch.column("content").to_pylist()]
             small = batch.drop_columns(["content"])
             for lo, hi in K.slices(texts):
                 n = hi - lo
-                hashes, owner = K.token_hashes(*K.flatten(texts[lo:hi]))
-                enough = np.bincount(owner, minlength=n) >= max(min_tokens, words)
-                values, of = K.unique_by_owner(*K.shingles(hashes[enough[owner]], owner[enough[owner]], words))
+                values, of = _text_shingles(texts[lo:hi], words, min_tokens)
                 at, starts = np.unique(of, return_index=True)
-                classes, bands, bits = np.zeros(n, np.int64), [None] * n, np.zeros(n, np.int64)
+                classes, bits, bands = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, None, object)
                 if len(at):
                     sizes = np.diff(np.append(starts, len(values))).astype(np.uint64)
                     classes[at] = K.mix(np.add.reduceat(K.mix(values), starts) + sizes).view(np.int64)
                     found = _signatures(values, starts)
                     bits[at] = _pack_bits(found).view(np.int64)
-                    low = found.astype(np.uint8)
-                    for row, i in enumerate(at):
-                        bands[i] = low[row].tobytes()
-                none = np.array([x is None for x in bands])
+                    bands[at] = [x.tobytes() for x in _band_keys(found)] if exact is None else _prefixes(values, starts, exact, frequency.value)
+                none = ~np.isin(np.arange(n), at)
                 yield pa.RecordBatch.from_arrays(
                     [*small.slice(lo, n).columns, pa.array(classes, mask=none), pa.array(bands, pa.binary()), pa.array(bits, mask=none)],
                     names=[*small.schema.names, "text_class", "bands", "bits"],
@@ -87,31 +129,88 @@ def _sketcher(words: int, min_tokens: int):
     return run
 
 
-def sketches(chunks: DataFrame, words: int, min_tokens: int) -> DataFrame:
-    """A row of each row of ``chunks``: small columns, class of the shingle set, and MinHash values; one pass over the texts."""
+def sketches(chunks: DataFrame, words: int, min_tokens: int, exact: float | None = None) -> DataFrame:
+    """A row of each row of ``chunks``: small columns, class of the shingle set, band keys, and bits; one pass over the texts."""
     rows = spread(chunks.where(F.col("id").isNotNull()).select("id", "updated_at", "is_deleted", "content")).select(
         F.col("id").cast("long"), F.col("updated_at").cast("long"), (~not_deleted() | F.col("content").isNull()).alias("gone"), *key_columns(canonical_text(F.col("content"))), "content"
     )
-    return rows.mapInArrow(_sketcher(words, min_tokens), SKETCH)
+    frequency = None if exact is None else chunks.sparkSession.sparkContext.broadcast(_frequencies(rows, words, min_tokens))
+    return rows.mapInArrow(_sketcher(words, min_tokens, exact, frequency), SKETCH)
+
+
+@dataclass(frozen=True)
+class Tasks:
+    """How the entries of each bucket are compared: in one task, or, split into parts, in a task for every two parts."""
+
+    parts: np.ndarray
+    first: np.ndarray
+
+    @classmethod
+    def of(cls, buckets: int, large: dict[int, int], part: int) -> Tasks:
+        parts = np.ones(buckets, np.int64)
+        for bucket, n in large.items():
+            parts[bucket] = -(-n // part)
+        each = parts * (parts + 1) // 2
+        return cls(parts, np.cumsum(each) - each)
+
+    def spread(self, bucket: np.ndarray, classes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For the entries: places, tasks, whether the task compares two parts, and whether the entry is of the second. A split entry goes to each task of its part."""
+        n = self.parts[bucket]
+        one = np.flatnonzero(n == 1)
+        yield one, self.first[bucket[one]], np.zeros(len(one), bool), np.zeros(len(one), bool)
+        many = np.flatnonzero(n > 1)
+        n, first = n[many], self.first[bucket[many]]
+        mine = (K.mix(classes[many].view(np.uint64)) % n.astype(np.uint64)).astype(np.int64)
+        for other in range(int(n.max(initial=0))):
+            has = n > other
+            i, s, at = mine[has], n[has], first[has]
+            lo, hi = np.minimum(i, other), np.maximum(i, other)
+            yield many[has], at + lo * s - lo * (lo - 1) // 2 + hi - lo, lo != hi, i > other
+
+
+def _keys(batch: pa.RecordBatch, buckets: int, numbered: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every entry of a batch: its bucket, key, and the place of its text among the batch's different ones; and those texts' rows."""
+    _, rows = np.unique(batch.column("text_class").to_numpy(), return_index=True)  # copies count once
+    blobs = batch.column("bands").take(pa.array(rows)).to_pylist()
+    sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+    values = np.frombuffer(b"".join(blobs), "<u4").astype(np.uint64)
+    if numbered:
+        values = values + (np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), len(rows)) << np.uint64(32))
+    hashes = K.mix(values)
+    bucket = ((hashes & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+    return bucket, (hashes >> np.uint64(48)).astype("<u2"), np.repeat(np.arange(len(rows)), sizes), rows
+
+
+def _counter(buckets: int, numbered: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(buckets, np.int64)
+        for batch in batches:
+            total += np.bincount(_keys(batch, buckets, numbered)[0], minlength=buckets)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+
+    return run
 
 
-def _banded(buckets: int):
+def _banded(tasks: Tasks, numbered: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = len(tasks.parts)
         for batch in batches:
-            classes, first = np.unique(batch.column("text_class").to_numpy(), return_index=True)  # copies count once
-            bands = np.frombuffer(b"".join(batch.column("bands").take(pa.array(first)).to_pylist()), "<u4").reshape(len(first), BANDS)
-            bits = batch.column("bits").to_numpy()[first].view(np.uint64)
-            keys = K.mix(bands.astype(np.uint64) + (np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(32)))
-            entries = np.empty(keys.size, ENTRY)
-            entries["key"] = (keys >> np.uint64(32)).astype(np.uint32).ravel()
-            entries["text_class"] = np.repeat(classes, BANDS)
-            entries["bits"] = np.repeat(bits, BANDS)
-            bucket = ((keys & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int32).ravel()
-            order = np.argsort(bucket, kind="stable")
-            entries, bucket = entries[order], bucket[order]
-            starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            ends = np.append(starts[1:], len(entries))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array([entries[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())], names=["bucket", "entries"])
+            bucket, key, text, rows = _keys(batch, buckets, numbered)
+            entries = np.empty(len(bucket), ENTRY)
+            entries["key"] = key
+            entries["text_class"] = batch.column("text_class").to_numpy()[rows][text]
+            entries["bits"] = batch.column("bits").to_numpy()[rows].view(np.uint64)[text]
+            for at, task, cross, side in tasks.spread(bucket, entries["text_class"].copy()):
+                if not len(at):
+                    continue
+                order = np.lexsort((side, task))
+                at, task, cross, side = at[order], task[order], cross[order], side[order]
+                starts = np.flatnonzero(np.r_[True, (task[1:] != task[:-1]) | (side[1:] != side[:-1])])
+                raw = entries[at].tobytes()
+                offsets = pa.array((np.append(starts, len(at)) * ENTRY.itemsize).astype(np.int32)).buffers()[1]
+                blobs = pa.Array.from_buffers(pa.binary(), len(starts), [None, offsets, pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([pa.array(task[starts].astype(np.int32)), pa.array(cross[starts]), pa.array(side[starts]), blobs], names=["task", "is_cross", "side", "entries"])
 
     return run
 
@@ -147,89 +246,72 @@ def prune(left: np.ndarray, right: np.ndarray, threshold: float, tolerance: floa
     return alive
 
 
-def _kept(x: np.ndarray, y: np.ndarray, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
-    alive = prune(x["bits"], y["bits"], threshold, tolerance)
-    a, b = x["text_class"][alive], y["text_class"][alive]
-    return np.minimum(a, b), np.maximum(a, b)
-
-
-def _runs(entries: np.ndarray, threshold: float, tolerance: float) -> tuple[list, list]:
-    """Pairs kept from the runs of equal keys of one bucket; blocks of runs that are too long for one task."""
-    entries = entries[np.lexsort((entries["text_class"], entries["key"]))]
-    same = (entries["key"][1:] == entries["key"][:-1]) & (entries["text_class"][1:] == entries["text_class"][:-1])
-    entries = entries[np.r_[True, ~same]]
-    starts = np.flatnonzero(np.r_[True, entries["key"][1:] != entries["key"][:-1]])
-    sizes = np.diff(np.append(starts, len(entries)))
-    blocks = []
-    for start, size in zip(starts[sizes > BLOCK], sizes[sizes > BLOCK], strict=True):
-        parts = [entries[start + i : min(start + i + BLOCK, start + size)].tobytes() for i in range(0, size, BLOCK)]
-        blocks += [(parts[i], parts[j]) for i in range(len(parts)) for j in range(i, len(parts))]
-    several = (sizes > 1) & (sizes <= BLOCK)
-    run = np.repeat(np.arange(np.count_nonzero(several)), sizes[several])
-    inside = entries[np.repeat(several, sizes)]
-    pairs, d = [], 1
-    at = np.arange(len(inside))
-    while len(at := at[at + d < len(inside)]):
-        at = at[run[at] == run[at + d]]
-        if len(at):
-            pairs.append(_kept(inside[at], inside[at + d], threshold, tolerance))
+def _pairs(entries: np.ndarray, side: np.ndarray, cross: bool, threshold: float, tolerance: float) -> pa.RecordBatch:
+    """The pairs of equal keys that pruning leaves; with ``cross`` only those of two sides."""
+    order = np.lexsort((entries["text_class"], entries["key"]))
+    key, text, bits, side = entries["key"][order], entries["text_class"][order], entries["bits"][order], side[order]
+    keep = np.r_[True, (key[1:] != key[:-1]) | (text[1:] != text[:-1])] if len(key) else np.zeros(0, bool)
+    key, text, bits, side = key[keep], text[keep], bits[keep], side[keep]
+    found, d = [], 1
+    at = np.arange(len(key))
+    while len(at := at[at + d < len(key)]):
+        at = at[key[at] == key[at + d]]
+        asked = at[side[at] != side[at + d]] if cross else at
+        if len(asked):
+            some = asked[prune(bits[asked], bits[asked + d], threshold, tolerance)]
+            found.append(np.stack([text[some], text[some + d]]))
         d += 1
-    return pairs, blocks
-
-
-def _candidate_batch(pairs: list, blocks: list) -> pa.RecordBatch:
-    a = np.concatenate([x for x, _ in pairs] or [np.zeros(0, np.int64)])
-    b = np.concatenate([y for _, y in pairs] or [np.zeros(0, np.int64)])
-    if len(a):
-        a, b = np.unique(np.stack([a, b]), axis=1)
-    none = [None] * len(a)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([*a.tolist(), *[None] * len(blocks)], pa.int64()), pa.array([*b.tolist(), *[None] * len(blocks)], pa.int64()), pa.array([*none, *(x for x, _ in blocks)], pa.binary()), pa.array([*none, *(y for _, y in blocks)], pa.binary())],
-        names=["a", "b", "left_block", "right_block"],
-    )
+    pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+    a, b = np.unique(np.sort(pairs, axis=0), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
 def _matcher(threshold: float, tolerance: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
+        at, cross, held = None, False, []
+
+        def answer() -> pa.RecordBatch:
+            entries = [np.frombuffer(raw, ENTRY) for raw, _ in held]
+            side = np.repeat([x for _, x in held], [len(e) for e in entries])
+            return _pairs(np.concatenate(entries), side, cross, threshold, tolerance)
+
         for batch in batches:
-            for bucket, entries in zip(batch.column("bucket").to_pylist(), batch.column("entries").to_pylist(), strict=True):
-                if bucket != at and held:
-                    yield _candidate_batch(*_runs(np.frombuffer(b"".join(held), ENTRY), threshold, tolerance))
+            for task, is_cross, side, raw in zip(*(batch.column(c).to_pylist() for c in ("task", "is_cross", "side", "entries")), strict=True):
+                if task != at and held:
+                    yield answer()
                     held = []
-                at = bucket
-                held.append(entries)
+                at, cross = task, is_cross
+                held.append((raw, side))
         if held:
-            yield _candidate_batch(*_runs(np.frombuffer(b"".join(held), ENTRY), threshold, tolerance))
+            yield answer()
 
     return run
 
 
-def _block_matcher(threshold: float, tolerance: float):
+def _setter(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for left, right in zip(batch.column("left_block").to_pylist(), batch.column("right_block").to_pylist(), strict=True):
-                x, y = np.frombuffer(left, ENTRY), np.frombuffer(right, ENTRY)
-                for d in range(len(x)):
-                    rest = y[d + 1 :] if left == right else y
-                    a, b = _kept(np.broadcast_to(x[d], rest.shape), rest, threshold, tolerance)
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            texts = [(x or "").lower() for x in batch.column("content").to_pylist()]
+            for lo, hi in K.slices(texts):
+                values, owner = K.unique_by_owner(*K.shingles(*K.token_hashes(*K.flatten(texts[lo:hi])), words))
+                at = (np.searchsorted(owner, np.arange(hi - lo + 1)) * 8).astype(np.int32)
+                blobs = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(values.astype("<u8").tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column("text_class").slice(lo, hi - lo), blobs], names=["text_class", "shingles"])
 
     return run
 
 
-def _verifier(words: int, threshold: float):
+def _verifier(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left = [(x or "").lower() for x in batch.column("left_text").to_pylist()]
-            right = [(x or "").lower() for x in batch.column("right_text").to_pylist()]
-            good = np.zeros(len(left), bool)
-            lengths = [x + y for x, y in zip(left, right, strict=True)]
-            for lo, hi in K.slices(lengths):
+            sides = [batch.column(c).to_pylist() for c in ("left", "right")]
+            sizes = [np.fromiter(map(len, x), np.int64, len(x)) // 8 for x in sides]
+            good = np.zeros(batch.num_rows, bool)
+            cuts = np.flatnonzero(np.diff((sizes[0] + sizes[1]).cumsum() // K.SLICE_CHARS)) + 1
+            for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, batch.num_rows], strict=True):
                 n = hi - lo
-                sides = [K.unique_by_owner(*K.shingles(*K.token_hashes(*K.flatten(side[lo:hi])), words)) for side in (left, right)]
-                values, owner = (np.concatenate(x) for x in zip(*sides, strict=True))
+                values = np.frombuffer(b"".join([*sides[0][lo:hi], *sides[1][lo:hi]]), "<u8")
+                owner = np.repeat(np.tile(np.arange(n), 2), np.concatenate([x[lo:hi] for x in sizes]))
                 union = np.bincount(K.unique_by_owner(values, owner)[1], minlength=n)
                 both = np.bincount(owner, minlength=n) - union
                 good[lo:hi] = (both > 0) & (both >= threshold * union)
@@ -246,47 +328,50 @@ def _live_members(sketched: DataFrame) -> DataFrame:
     return now.select("id", "s.updated_at", "s.text_class", "s.k1", "s.k2")
 
 
-def similar_classes(chunks: DataFrame, words: int = 3, threshold: float = 0.5, min_tokens: int = 40, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
+def similar_classes(chunks: DataFrame, words: int = 3, threshold: float = 0.5, min_tokens: int = 40, tolerance: float = TOLERANCE, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """Members of each class of equal shingle sets, and the pairs of different classes that are similar.
 
     Members: (id, updated_at, text_class, k1, k2), live rows of at least ``min_tokens`` tokens only. Pairs: (a, b),
     a < b, classes whose sets of runs of ``words`` tokens have a Jaccard similarity of at least ``threshold``.
-    Equal texts are one class from the first task on, so copies, however many, cost no pairs.
+    Equal texts are one class from the first task on, so copies, however many, cost no pairs. Which bands are hot is
+    counted before anything is compared: a bucket of too many entries is split, and every two of its parts meet in a
+    task of their own. Only texts that are in a candidate are read again, and turned into shingle sets once.
+
+    ``exact`` finds every pair: candidates are then all that share one of the shingles of which two similar texts must
+    share one, and none is pruned. It costs as many comparisons as there are pairs with a shingle in common there.
     """
     spark = chunks.sparkSession
-    sketched = materialise(sketches(chunks, words, min_tokens), "near-sketches")
+    sketched = materialise(sketches(chunks, words, min_tokens, threshold if exact else None), "near-sketches")
     members = materialise(_live_members(sketched), "near-members")
-    banded = sketched.where(F.col("bands").isNotNull())
-    need = int(sketched.count() * BANDS * ENTRY.itemsize / BUCKET_BYTES) + 1
-    buckets = max(2 * shuffle_partitions(spark), need)
-    entries = banded.select("text_class", "bands", "bits").mapInArrow(_banded(buckets), ENTRIES)
-    matched = entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_matcher(threshold, tolerance), CANDIDATES)
-    matched = materialise(matched, "near-candidates")
-    blocks = matched.where(F.col("left_block").isNotNull()).select("left_block", "right_block")
-    more = blocks.repartition(F.xxhash64("left_block", "right_block")).mapInArrow(_block_matcher(threshold, tolerance), PAIRS)
-    candidates = matched.where(F.col("a").isNotNull()).select("a", "b").unionByName(more).distinct()
+    banded = sketched.where(F.col("bands").isNotNull()).select("text_class", "bands", "bits")
+    total = banded.agg(F.sum(F.octet_length("bands"))).head()[0] or 0
+    buckets = min(max(2 * shuffle_partitions(spark), total // (4 * BUCKET) + 1), MOST_BUCKETS)
+    limit = max(HOT, 4 * (total // 4) // buckets)  # so that at most a quarter of the buckets is above it
+    sizes = banded.mapInArrow(_counter(buckets, not exact), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    tasks = Tasks.of(buckets, {r.bucket: r.n for r in sizes.where(F.col("n") > limit).collect()}, limit // 2)
+    entries = banded.mapInArrow(_banded(tasks, not exact), ENTRIES)
+    matched = entries.repartition("task").sortWithinPartitions("task").mapInArrow(_matcher(threshold, 0.0 if exact else tolerance), PAIRS)
+    candidates = materialise(matched.distinct(), "near-candidates")
 
     first = members.groupBy("text_class").agg(F.min(F.struct("id", "updated_at")).alias("row"))
-    named = candidates.join(first.select(F.col("text_class").alias("a"), F.col("row").alias("ra")), "a").join(first.select(F.col("text_class").alias("b"), F.col("row").alias("rb")), "b")
-    texts = chunks.where(F.col("content").isNotNull()).select(F.col("id").cast("long"), F.col("updated_at").cast("long"), "content")
-    with_texts = _by_row(named, texts, "ra", "left_text")
-    with_texts = _by_row(with_texts, texts, "rb", "right_text")
-    pairs = with_texts.select("a", "b", "left_text", "right_text").mapInArrow(_verifier(words, threshold), PAIRS).distinct()
-    return members, pairs
+    ends = candidates.select(F.explode(F.array("a", "b")).alias("text_class")).distinct()
+    wanted = first.join(ends, "text_class").select("text_class", F.col("row.id").alias("_id"), F.col("row.updated_at").alias("_at"))
+    texts = chunks.where(F.col("content").isNotNull()).select(F.col("id").cast("long").alias("_id"), F.col("updated_at").cast("long").alias("_was"), "content")
+    asked = texts.join(wanted, "_id").where(F.col("_was").eqNullSafe(F.col("_at"))).select("text_class", "content")
+    sets = materialise(asked.mapInArrow(_setter(words), SETS), "near-sets")
+    sets = sets.groupBy("text_class").agg(F.first("shingles").alias("shingles"))  # repeated rows give the same set
+    both = candidates.join(sets.select(F.col("text_class").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("text_class").alias("b"), F.col("shingles").alias("right")), "b")
+    return members, both.select("a", "b", "left", "right").mapInArrow(_verifier(threshold), PAIRS)
 
 
-def _by_row(pairs: DataFrame, texts: DataFrame, row: str, name: str) -> DataFrame:
-    t = texts.select(F.col("id").alias("_id"), F.col("updated_at").alias("_at"), F.col("content").alias(name))
-    return pairs.join(t, (F.col(f"{row}.id") == F.col("_id")) & F.col(f"{row}.updated_at").eqNullSafe(F.col("_at"))).drop("_id", "_at")
-
-
-def similar_pairs(chunks: DataFrame, words: int = 3, threshold: float = 0.5, min_tokens: int = 40) -> DataFrame:
+def similar_pairs(chunks: DataFrame, words: int = 3, threshold: float = 0.5, min_tokens: int = 40, exact: bool = False) -> DataFrame:
     """All pairs of live chunks that are similar but no copies of each other: (chunk_id_a, chunk_id_b), a < b.
 
     Copies are texts of equal canonical key (see ``copies``). Null, empty and short contents are in no pair;
-    repeated rows count once; an empty table has no pairs. No transitive closure, no cap on partners.
+    repeated rows count once; an empty table has no pairs. No transitive closure, no cap on partners. ``exact`` as in
+    ``similar_classes``.
     """
-    members, pairs = similar_classes(chunks, words, threshold, min_tokens)
+    members, pairs = similar_classes(chunks, words, threshold, min_tokens, exact=exact)
     # one shingle set in texts that are no copies: every two of them are similar
     mixed = members.groupBy("text_class").agg(F.min(F.struct("k1", "k2")).alias("lo"), F.max(F.struct("k1", "k2")).alias("hi")).where("lo <> hi")
     links = pairs.unionByName(mixed.select(F.col("text_class").alias("a"), F.col("text_class").alias("b")))

@@ -48,6 +48,14 @@ WITH f AS (
     THEN array_to_string(list_sort(list_transform(fields, lambda x: x[1] || '=' || x[2])), chr(10)) ELSE plain END AS k FROM parts
 )"""
 
+#: CTEs sc: live chunks of at least 40 tokens with their sets of shingles; pr: pairs of them that share one, and the similarity.
+_SHINGLES = r""", tk AS (
+  SELECT id, regexp_extract_all(regexp_replace(lower(raw), '([\x{4E00}-\x{9FFF}])', ' \1 ', 'g'), '[\p{L}\p{N}]+') AS t FROM live WHERE kind = 'chunk'
+), sc AS (
+  SELECT id, list_sort(list_distinct(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]))) AS s FROM tk WHERE len(t) >= 40
+), u AS (SELECT id, len(s) AS n, unnest(s) AS x FROM sc),
+pr AS (SELECT a.id AS a, b.id AS b, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS similarity FROM u a JOIN u b ON a.x = b.x AND a.id < b.id GROUP BY a.id, b.id)"""
+
 _OVERSIZED = r"""
 WITH c AS (
   SELECT id, arg_max(struct_pack(d := coalesce(is_deleted, false), t := content, y := content_type), coalesce(updated_at, -9e18)) AS s FROM chunks WHERE id IS NOT NULL GROUP BY id
@@ -59,6 +67,16 @@ z AS (
 ), o AS (SELECT id AS chunk_id FROM z JOIN l USING (content_type) WHERE (8 * h + 3 * (n - h)) // 12 > max_tokens)"""
 
 SQL = {
+    "p2_found": _CANONICAL
+    + _SHINGLES
+    + """, ky AS (SELECT live.id, coalesce(k, '') AS k FROM live LEFT JOIN keyed ON keyed.kind = 'chunk' AND keyed.id = live.id WHERE live.kind = 'chunk')
+SELECT a AS chunk_id_a, b AS chunk_id_b FROM pr JOIN ky x ON x.id = a JOIN ky y ON y.id = b WHERE similarity >= 0.5 AND x.k <> y.k""",
+    "p2_classes": _CANONICAL
+    + _SHINGLES
+    + """, cl AS (SELECT id, min(id) OVER (PARTITION BY s) AS class_id FROM sc),
+ends AS (SELECT DISTINCT least(x.class_id, y.class_id) AS c, greatest(x.class_id, y.class_id) AS o FROM pr JOIN cl x ON x.id = a JOIN cl y ON y.id = b WHERE similarity >= 0.5 AND x.class_id <> y.class_id),
+n AS (SELECT class_id, count(*) AS n_links FROM (SELECT c AS class_id FROM ends UNION ALL SELECT o FROM ends) GROUP BY 1)
+SELECT id AS chunk_id, class_id, coalesce(n_links, 0) AS n_links FROM cl LEFT JOIN n USING (class_id)""",
     "p3_found": _OVERSIZED + " SELECT chunk_id FROM o",
     "p3_checked": _OVERSIZED + " SELECT chunk_id, true AS within, true AS covers, true AS shares FROM o",
     "p6_round_trip": "SELECT doc_id, length(coalesce(text, '')) AS n_chars, true AS same FROM documents",
