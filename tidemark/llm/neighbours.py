@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,19 +18,21 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialise, shuffle_partitions
 
-#: Entries a cell has on average; the number of centroids of a half follows from it, up to MOST_CENTROIDS.
+#: Entries a cell has on average; the number of centroids of a half grows with the root of the number of vectors.
 CELL_ENTRIES = 16
-LEAST_CENTROIDS, MOST_CENTROIDS = 8, 1024
-#: Vectors the codebooks are fitted on, per centroid: at most 64 * 1024 rows reach the driver, however many there are.
-SAMPLE_PER_CENTROID = 64
+LEAST_CENTROIDS = 8
+#: Vectors the codebooks are fitted on: so many for each centroid, within these bounds (64 MB), however many there are.
+SAMPLE_PER_CENTROID, LEAST_SAMPLE, MOST_SAMPLE = 64, 4_096, 1 << 18
 ROUNDS = 10
-#: Cells visited by a query for near neighbours.
-CELLS = 24
-#: Entries of one partition of the index.
+#: Entries of one partition of the index, and of one that is split.
 PART_ENTRIES = 32_768
 QUERY_BLOCK = 8_192
-#: Queries answered exactly to see how far a search must go.
-PROBES = 200
+#: Queries answered exactly to see how far a search must go: for all neighbours, and for near ones, of which many queries have none.
+PROBES, NEAR_PROBES = 200, 4_096
+#: Near neighbours are so few that the probes' own lie less far than some others: a search for them goes so many times as far.
+NEAR_MARGIN = 2.0
+#: Distances worked on at a time.
+WORK = 1 << 22
 
 ROUTED = "part int, is_query boolean, vector_class long, vector binary, cell int, cutoff float"
 MATCHES = "query long, entry long, similarity float"
@@ -39,9 +42,21 @@ MATCHES = "query long, entry long, similarity float"
 class Codebooks:
     first: np.ndarray
     second: np.ndarray
-    #: The partition of each centroid of the first half.
-    part: np.ndarray
-    parts: int
+    #: The group of each centroid of the first half; of each group its first partition and into how many it is split.
+    group: np.ndarray
+    start: np.ndarray
+    splits: np.ndarray
+
+    @property
+    def parts(self) -> int:
+        return int(self.splits.sum())
+
+    def home(self, centroid: np.ndarray, names: np.ndarray) -> np.ndarray:
+        """The partition of vectors: that of their centroid's group, by name in groups that are split."""
+        from tidemark.llm.kernel import mix
+
+        g = self.group[centroid]
+        return self.start[g] + (mix(names.view(np.uint64)) % self.splits[g].astype(np.uint64)).astype(np.int64)
 
     def distances(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Squared distances of both halves to all centroids, less the vector's own norm."""
@@ -49,11 +64,16 @@ class Codebooks:
         return tuple((c * c).sum(1) - 2 * (v @ c.T) for v, c in ((vectors[:, :half], self.first), (vectors[:, half:], self.second)))
 
 
+def _closest(points: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    step, norms = max(1, WORK // len(centroids)), (centroids * centroids).sum(1)
+    return np.concatenate([(norms - 2 * (points[lo : lo + step] @ centroids.T)).argmin(1) for lo in range(0, len(points), step)])
+
+
 def _fit(points: np.ndarray, k: int) -> np.ndarray:
     """k-means; starts from evenly spaced rows of the sample, which is in random order already."""
     centroids = points[np.linspace(0, len(points) - 1, k).astype(int)].copy()
     for _ in range(ROUNDS):
-        nearest = ((centroids * centroids).sum(1) - 2 * (points @ centroids.T)).argmin(1)
+        nearest = _closest(points, centroids)
         sums, counts = np.zeros_like(centroids), np.bincount(nearest, minlength=len(centroids))
         np.add.at(sums, nearest, points)
         centroids = sums[counts > 0] / counts[counts > 0, None]  # those without points, as in samples with few different ones, go
@@ -79,12 +99,15 @@ def _group(centroids: np.ndarray, load: np.ndarray, parts: int) -> np.ndarray:
     return out
 
 
-def fit_codebooks(sample: np.ndarray, centroids: int, parts: int) -> Codebooks:
+def fit_codebooks(sample: np.ndarray, centroids: int, groups: int, rows: int) -> Codebooks:
+    """Codebooks of a sample of ``rows`` vectors. A group that by its share of the sample holds more than two partitions' entries is split."""
     half = sample.shape[1] // 2
     first, second = _fit(sample[:, :half], centroids), _fit(sample[:, half:], centroids)
-    load = np.bincount(((first * first).sum(1) - 2 * (sample[:, :half] @ first.T)).argmin(1), minlength=len(first))
-    part = _group(first, load.astype(float), parts)
-    return Codebooks(first, second, part, int(part.max()) + 1)
+    load = np.bincount(_closest(sample[:, :half], first), minlength=len(first)).astype(float)
+    group = _group(first, load, groups)
+    held = np.bincount(group, load) / max(load.sum(), 1) * rows
+    splits = np.where(held > 2 * PART_ENTRIES, np.ceil(held / PART_ENTRIES), 1).astype(np.int64)
+    return Codebooks(first, second, group, np.cumsum(splits) - splits, splits)
 
 
 def _units(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,18 +152,21 @@ def traversal(d1: np.ndarray, d2: np.ndarray, cells: int) -> tuple[np.ndarray, n
     """
     k1, k2 = d1.shape[1], d2.shape[1]
     cells = min(cells, k1 * k2)
-    if cells > 4 * max(k1, k2):  # wide search: the staircase is nearly everything
-        sums = (d1[:, :, None] + d2[:, None, :]).reshape(len(d1), -1)
-        top = np.argpartition(sums, cells - 1, axis=1)[:, :cells]
-        return top // k2, top % k2, np.take_along_axis(sums, top, 1)
     o1, o2 = np.argsort(d1, axis=1)[:, : min(k1, cells)], np.argsort(d2, axis=1)[:, : min(k2, cells)]
-    i, j = (x.ravel() for x in np.indices((o1.shape[1], o2.shape[1])))
-    i, j = i[keep := (i + 1) * (j + 1) <= cells], j[keep]
+    i, j = _staircase(o1.shape[1], o2.shape[1], cells)
     sums = np.take_along_axis(d1, o1, 1)[:, i] + np.take_along_axis(d2, o2, 1)[:, j]
-    top = np.argsort(sums, axis=1)[:, :cells]
+    top = np.argpartition(sums, cells - 1, axis=1)[:, :cells]
+    top = np.take_along_axis(top, np.argsort(np.take_along_axis(sums, top, 1), axis=1), 1)
     return np.take_along_axis(o1, i[top], 1), np.take_along_axis(o2, j[top], 1), np.take_along_axis(sums, top, 1)
 
 
+@lru_cache(4)
+def _staircase(k1: int, k2: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ranks of which (i + 1) * (j + 1) <= cells."""
+    steps = np.minimum(k2, cells // np.arange(1, k1 + 1))
+    return np.repeat(np.arange(k1), steps), np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps)
+
+
 def _router(books, width: int, cells: int, mutual: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b: Codebooks = books.value
@@ -150,21 +176,27 @@ def _router(books, width: int, cells: int, mutual: bool):
             names, at = np.unique(_classes(units), return_index=True)  # equal vectors count once
             wanted = np.isin(names, _classes(units[asked]))
             units = units[at]
-            step = 256 if cells <= 4 * len(b.first) else max(1, (1 << 22) // (len(b.first) * len(b.second)))
+            everywhere = cells >= len(b.first) * len(b.second)
+            step = max(1, min(256, WORK // (1 if everywhere else len(_staircase(len(b.first), len(b.second), cells)[0]))))
             for lo in range(0, len(units), step):
                 u, name = units[lo : lo + step], names[lo : lo + step]
                 d1, d2 = b.distances(u)
                 near = d1.argmin(1)
-                parts, classes, blobs, cell, cutoff = [b.part[near]], [name], [u], [near * len(b.second) + d2.argmin(1)], [np.full(len(u), np.nan)]
-                kind, home = [np.zeros(len(u), bool)], b.part[near]
+                home = b.home(near, name)
+                parts, classes, blobs, cell, cutoff = [home], [name], [u], [near * len(b.second) + d2.argmin(1)], [np.full(len(u), np.nan)]
+                kind = [np.zeros(len(u), bool)]
                 if (q := np.flatnonzero(wanted[lo : lo + step])).size:
-                    c1, _, sums = traversal(d1[q], d2[q], cells)
-                    touched = np.zeros((len(q), b.parts), bool)
-                    np.put_along_axis(touched, b.part[c1].astype(np.int64), True, 1)
+                    groups = np.full((len(q), len(b.splits)), everywhere)
+                    edge = np.full(len(q), np.inf, np.float32)
+                    if not everywhere:
+                        c1, _, sums = traversal(d1[q], d2[q], cells)
+                        np.put_along_axis(groups, b.group[c1].astype(np.int64), True, 1)
+                        edge = sums[:, -1]
+                    touched = np.repeat(groups, b.splits, axis=1)
                     touched[np.arange(len(q)), home[q]] = False  # there its entry asks as well
                     if mutual:
                         touched &= np.arange(b.parts) > home[q][:, None]
-                    cutoff[0][q] = edge = sums.max(1)
+                    cutoff[0][q] = edge
                     who, where = np.nonzero(touched)
                     parts.append(where)
                     classes.append(name[q][who])
@@ -173,14 +205,13 @@ def _router(books, width: int, cells: int, mutual: bool):
                     cutoff.append(edge[who])
                     kind.append(np.ones(len(who), bool))
                 vectors = np.ascontiguousarray(np.concatenate(blobs).astype("<f4"))
-                raw = vectors.tobytes()
-                size = width * 4
+                offsets = pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * (width * 4)).buffers()[1]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate(parts).astype(np.int32)),
                         pa.array(np.concatenate(kind)),
                         pa.array(np.concatenate(classes)),
-                        pa.array([raw[x : x + size] for x in range(0, len(raw), size)], pa.binary()),
+                        pa.Array.from_buffers(pa.binary(), len(vectors), [None, offsets, pa.py_buffer(vectors.tobytes())]),
                         pa.array(np.concatenate(cell).astype(np.int32)),
                         pa.array(np.concatenate(cutoff).astype(np.float32), from_pandas=True),
                     ],
@@ -228,7 +259,7 @@ def _search(b: Codebooks, index: tuple, asked: np.ndarray, queries: np.ndarray,
     ends = np.append(starts[1:], len(cells))
     d1, d2 = b.distances(queries)
     first, second = cells[starts] // len(b.second), cells[starts] % len(b.second)
-    edge = cutoff + 1e-5 * (1 + np.abs(cutoff))
+    edge = np.where(np.isinf(cutoff), cutoff, cutoff + 1e-5 * (1 + np.abs(cutoff)))
     for lo in range(0, len(starts), 512):
         visited = d1[:, first[lo : lo + 512]] + d2[:, second[lo : lo + 512]] <= edge[:, None]
         for c in range(visited.shape[1]):
@@ -258,103 +289,117 @@ def _matches(names: np.ndarray, best: _Best) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(names[who]), pa.array(entry), pa.array(np.minimum(similarity, np.float32(1)))], names=["query", "entry", "similarity"])
 
 
-def _searcher(books, width: int, k: int, least: float, mutual: bool):
-    def vectors(blobs: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(blobs), "<f4").reshape(-1, width)
+class _Rows:
+    """Names, vectors and numbers of rows as they come, kept as arrays."""
+
+    def __init__(self, width: int):
+        self.width, self.kept, self.n = width, [], 0
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        column = rows.column("vector")
+        at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        vectors = np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].view("<f4").reshape(-1, self.width).copy()
+        self.kept.append((rows.column("vector_class").to_numpy(), vectors, rows.column("cell").to_numpy(), rows.column("cutoff").to_numpy(zero_copy_only=False)))
+        self.n += rows.num_rows
 
+    def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All rows, those of one name once, in order of their names; then there are none."""
+        if not self.kept:
+            return np.zeros(0, np.int64), np.zeros((0, self.width), np.float32), np.zeros(0, np.int32), np.zeros(0, np.float32)
+        name, vectors, cell, cutoff = (np.concatenate(x) for x in zip(*self.kept, strict=True))
+        self.kept, self.n = [], 0
+        name, at = np.unique(name, return_index=True)
+        return name, vectors[at], cell[at], cutoff[at]
+
+
+def _searcher(books, width: int, k: int, least: float, mutual: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b: Codebooks = books.value
-        state: dict = {"part": None}
-
-        def index() -> None:
-            if state["index"] is None:
-                name, at = np.unique(np.array(state["name"], np.int64), return_index=True)
-                cell = np.array(state["cell"], np.int64)[at]
-                order = np.argsort(cell, kind="stable")
-                state["index"] = cell[order], name[order], vectors([state["blob"][x] for x in at[order]])
-                state["back"] = _Best(len(name), k, least) if mutual else None
-                state["own"] = True
-                asking = [x for x, edge in enumerate(state["edge"]) if edge is not None]
-                state["asked"] = [state["name"][x] for x in asking]
-                state["query"] = [state["blob"][x] for x in asking]
-                state["cutoff"] = [state["edge"][x] for x in asking]
-                state["name"], state["cell"], state["blob"], state["edge"] = [], [], [], []
-
-        def answer() -> Iterator[pa.RecordBatch]:
-            index()
-            if state["asked"]:
-                name, at = np.unique(np.array(state["asked"], np.int64), return_index=True)
-                cutoff = np.array(state["cutoff"], np.float32)[at]
-                # the entries' own questions find both directions by themselves
-                back = None if state["own"] else state["back"]
-                for lo in range(0, len(name), QUERY_BLOCK):
-                    some = at[lo : lo + QUERY_BLOCK]
-                    yield _search(b, state["index"], name[lo : lo + QUERY_BLOCK], vectors([state["query"][x] for x in some]), cutoff[lo : lo + QUERY_BLOCK], k, least, back)
-                state["asked"], state["cutoff"], state["query"] = [], [], []
-            state["own"] = False
+        part, index, back = None, None, None
+        entries, queries = _Rows(width), _Rows(width)
+
+        def ask(name: np.ndarray, vectors: np.ndarray, cutoff: np.ndarray, other: _Best | None) -> Iterator[pa.RecordBatch]:
+            for lo in range(0, len(name), QUERY_BLOCK):
+                hi = lo + QUERY_BLOCK
+                yield _search(b, index, name[lo:hi], vectors[lo:hi], cutoff[lo:hi], k, least, other)
+
+        def close() -> Iterator[pa.RecordBatch]:
+            """All entries are there: put them in order; those that ask do so now, finding both directions by themselves."""
+            nonlocal index, back
+            name, vectors, cell, cutoff = entries.take()
+            order = np.argsort(cell, kind="stable")
+            index = cell[order].astype(np.int64), name[order], vectors[order]
+            back = _Best(len(name), k, least) if mutual else None
+            asking = ~np.isnan(cutoff)
+            yield from ask(name[asking], vectors[asking], cutoff[asking], None)
 
         def finish() -> Iterator[pa.RecordBatch]:
-            yield from answer()
+            if index is None:
+                yield from close()
+            name, vectors, _, cutoff = queries.take()
+            yield from ask(name, vectors, cutoff, back)
             if mutual:
-                yield _matches(state["index"][1], state["back"])
+                yield _matches(index[1], back)
 
         for batch in batches:
-            part, is_query = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("part", "is_query"))
-            change = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (is_query[1:] != is_query[:-1])])
-            for lo, hi in zip(change, np.append(change[1:], len(part)), strict=True):
-                if part[lo] != state["part"]:
-                    if state["part"] is not None:
+            number, is_query = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("part", "is_query"))
+            change = np.flatnonzero(np.r_[True, (number[1:] != number[:-1]) | (is_query[1:] != is_query[:-1])])
+            for lo, hi in zip(change, np.append(change[1:], len(number)), strict=True):
+                if number[lo] != part:
+                    if part is not None:
                         yield from finish()
-                    state = {"part": part[lo], "index": None, "name": [], "cell": [], "blob": [], "edge": [], "asked": [], "cutoff": [], "query": []}
+                    part, index, back = number[lo], None, None
                 rows = batch.slice(lo, hi - lo)
-                name, blob = rows.column("vector_class").to_pylist(), rows.column("vector").to_pylist()
-                if is_query[lo]:
-                    if state["index"] is None:
-                        yield from answer()
-                    state["asked"] += name
-                    state["query"] += blob
-                    state["cutoff"] += rows.column("cutoff").to_pylist()
-                    if len(state["asked"]) >= QUERY_BLOCK:
-                        yield from answer()
-                else:
-                    state["name"] += name
-                    state["blob"] += blob
-                    state["cell"] += rows.column("cell").to_pylist()
-                    state["edge"] += rows.column("cutoff").to_pylist()
-        if state["part"] is not None:
+                if not is_query[lo]:
+                    entries.add(rows)
+                    continue
+                if index is None:
+                    yield from close()
+                queries.add(rows)
+                if queries.n >= QUERY_BLOCK:
+                    name, vectors, _, cutoff = queries.take()
+                    yield from ask(name, vectors, cutoff, back)
+        if part is not None:
             yield from finish()
 
     return run
 
 
-def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, cells: int = CELLS, recall: float | None = None, asked: Column | None = None, width: int = 64) -> DataFrame:
+def nearest(
+    vectors: DataFrame, k: int = 5, least: float = -1.0, cells: int = 1, recall: float | None = None, asked: Column | None = None, width: int = 64, probes: int = PROBES, margin: float = 1.0, exact: bool = False
+) -> DataFrame:
     """The ``k`` most similar other chunks of each asked chunk: (chunk_id, neighbour_id, similarity).
 
     Only embeddings of exactly ``width`` finite numbers, not all zero, count, one per chunk_id; others are in no
     result. Every usable vector is in the index; those for which ``asked`` holds (all, if None) are queries. A
     query visits ``cells`` cells of the index, or, if that is more, as many as the share ``recall`` of the
-    neighbours of PROBES queries, found exactly, lies in. ``least`` leaves out less similar neighbours. Ties go to the smaller neighbour_id. Equal vectors are one entry, so a
-    large group of them costs one; an empty table gives no rows.
+    neighbours of ``probes`` queries, found exactly in the same run, lies in, times ``margin``; with ``exact`` all of them. ``least``
+    leaves out less similar neighbours. Ties go to the smaller neighbour_id. Equal vectors are one entry, so a large
+    group of them costs one; a dense region of many different ones is split over partitions. An empty table gives no
+    rows. Building the plan counts the rows, fits the codebooks on a sample and answers the probes.
     """
     spark = vectors.sparkSession
     rows = vectors.where(F.col("chunk_id").isNotNull()).select(F.col("chunk_id").cast("long"), F.col("embedding").cast("array<float>"))
     usable = rows.mapInArrow(_namer(width), "chunk_id long, vector_class long")
     members = materialise(usable.groupBy("chunk_id").agg(F.min("vector_class").alias("vector_class")), "vector-members")
     n = members.count()
-    centroids = int(np.clip(round((n / CELL_ENTRIES) ** 0.5), LEAST_CENTROIDS, MOST_CENTROIDS))
-    parts = min(centroids, max(shuffle_partitions(spark), -(-n // PART_ENTRIES)))
-    want = SAMPLE_PER_CENTROID * centroids
+    centroids = max(round((n / CELL_ENTRIES) ** 0.5), LEAST_CENTROIDS)
+    groups = min(centroids, max(shuffle_partitions(spark), -(-n // PART_ENTRIES)))
+    want = int(np.clip(SAMPLE_PER_CENTROID * centroids, LEAST_SAMPLE, MOST_SAMPLE))
     drawn = rows.where(F.pmod(F.xxhash64("chunk_id"), F.lit(1 << 30)) < int(min(1.0, 1.5 * want / max(n, 1)) * (1 << 30)))
     sample = drawn.orderBy(F.xxhash64(F.lit(1), "chunk_id"), "chunk_id").limit(want).select("embedding").toArrow()
     _, points = _units(sample.column("embedding").combine_chunks(), width)
     if not len(points):
         points = np.eye(1, width, dtype=np.float32)
-    fitted = fit_codebooks(points, centroids, parts)
+    fitted = fit_codebooks(points, centroids, groups, n)
     books = spark.sparkContext.broadcast(fitted)
 
-    visit = cells if recall is None else max(cells, cells_for(recall, rows, books, points[:PROBES], width, k))
     # where every vector asks, one of two partitions asks the other, and both directions are kept there
     mutual = asked is None
+    if exact:
+        visit = len(fitted.first) * len(fitted.second)
+    else:
+        visit = cells if recall is None else max(cells, round(margin * cells_for(recall, rows, books, points[:probes], width, k, least, mutual)))
     flag = F.lit(True) if mutual else F.coalesce(asked, F.lit(False))
     routed = rows.withColumn("asked", flag).mapInArrow(_router(books, width, visit, mutual), ROUTED)
     found = routed.repartitionById(fitted.parts, F.col("part")).sortWithinPartitions("part", "is_query").mapInArrow(_searcher(books, width, k, least, mutual), MATCHES)
@@ -364,42 +409,57 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, cells: int = CE
     return _named(members, matches, flag, k)
 
 
-def _probe(books, width: int, k: int, queries: np.ndarray):
-    """The k best entries of each probe in each batch, and the summed distance of the cell each lies in."""
+def _probe(books, width: int, k: int, queries: np.ndarray, least: float, mutual: bool):
+    """The k best entries of each probe in each batch, of those at least so similar, and the summed distance of the cell each lies in.
+
+    With ``mutual`` also how many cells the entry would have to visit to find the probe, as then either may be the one that asks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b: Codebooks = books.value
         asked, (q1, q2) = _classes(queries), b.distances(queries)
+        cell1, cell2 = q1.argmin(1), q2.argmin(1)
         for batch in batches:
             _, units = _units(batch.column("embedding"), width)
             names, at = np.unique(_classes(units), return_index=True)
             if not len(names):
                 continue
             units = units[at]
-            d1, d2 = b.distances(units)
-            near1, near2 = d1.argmin(1), d2.argmin(1)
-            found = queries @ units.T
-            found[asked[:, None] == names[None, :]] = -2
-            best = np.argpartition(-found, min(k, len(names)) - 1, axis=1)[:, :k]
-            who = np.repeat(np.arange(len(queries)), best.shape[1])
-            best = best.ravel()
-            reach = q1[who, near1[best]] + q2[who, near2[best]]
-            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(names[best]), pa.array(found[who, best]), pa.array(reach.astype(np.float32))], names=["query", "entry", "similarity", "reach"])
+            near1, near2 = (np.concatenate(x) for x in zip(*([d.argmin(1) for d in b.distances(units[lo : lo + 256])] for lo in range(0, len(units), 256)), strict=True))
+            step = max(1, WORK // len(names))
+            for lo in range(0, len(queries), step):
+                found = queries[lo : lo + step] @ units.T
+                found[asked[lo : lo + step, None] == names[None, :]] = -2
+                if least > 0:
+                    who, best = np.nonzero(found >= least)
+                else:
+                    best = np.argpartition(-found, min(k, len(names)) - 1, axis=1)[:, :k]
+                    who, best = np.repeat(np.arange(len(found)), best.shape[1]), best.ravel()
+                value, who = found[who, best], who + lo
+                reach = q1[who, near1[best]] + q2[who, near2[best]]
+                back = np.zeros(len(who), np.int64)
+                for i in range(len(who) if mutual else 0):
+                    d1, d2 = (d[0] for d in b.distances(units[best[i]][None]))
+                    back[i] = _cells_within(d1, d2, d1[cell1[who[i]]] + d2[cell2[who[i]]])
+                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(names[best]), pa.array(value), pa.array(reach.astype(np.float32)), pa.array(back)], names=["query", "entry", "similarity", "reach", "back"])
 
     return run
 
 
-def cells_for(recall: float, rows: DataFrame, books, queries: np.ndarray, width: int, k: int) -> int:
-    """Cells a query must visit to find the share ``recall`` of its k nearest, from exact answers to PROBES queries over all rows."""
-    found = rows.mapInArrow(_probe(books, width, k, queries), f"{MATCHES}, reach float").groupBy("query", "entry").agg(F.max("similarity").alias("similarity"), F.max("reach").alias("reach"))
+def _cells_within(d1: np.ndarray, d2: np.ndarray, reach: float) -> int:
+    """How many pairs of centroids have no greater summed distance."""
+    return int(np.searchsorted(np.sort(d2), reach + 1e-5 * (1 + abs(reach)) - d1, "right").sum())
+
+
+def cells_for(recall: float, rows: DataFrame, books, queries: np.ndarray, width: int, k: int, least: float = -1.0, mutual: bool = False) -> int:
+    """Cells a query must visit to find the share ``recall`` of its k nearest, from exact answers to some queries over all rows."""
+    found = rows.mapInArrow(_probe(books, width, k, queries, least, mutual), f"{MATCHES}, reach float, back long")
+    found = found.groupBy("query", "entry").agg(*(F.max(c).alias(c) for c in ("similarity", "reach", "back")))
     best = Window.partitionBy("query").orderBy(F.desc("similarity"), "entry")
-    exact = found.withColumn("rank", F.row_number().over(best)).where((F.col("rank") <= k) & (F.col("similarity") > -2)).select("query", "reach").toPandas()  # at most PROBES * k rows
+    exact = found.withColumn("rank", F.row_number().over(best)).where((F.col("rank") <= k) & (F.col("similarity") > -2)).select("query", "reach", "back").toPandas()  # at most k rows a probe
     q1, q2 = books.value.distances(queries)
-    ranks = []
-    for query, mine in exact.groupby("query"):
-        sums = (q1[query][:, None] + q2[query][None, :]).ravel()
-        ranks += [np.count_nonzero(sums <= r + 1e-5 * (1 + abs(r))) for r in mine["reach"]]
-    return int(np.quantile(ranks, recall)) + 1 if ranks else 1
+    ranks = [max(_cells_within(q1[q], q2[q], r), back) for q, r, back in exact.itertuples(index=False)]
+    return int(np.quantile(ranks, recall, method="higher")) + 1 if ranks else 1
 
 
 def _named(members: DataFrame, matches: DataFrame, flag: Column, k: int) -> DataFrame:
@@ -416,10 +476,11 @@ def _named(members: DataFrame, matches: DataFrame, flag: Column, k: int) -> Data
     return asking.join(lists, F.col("vector_class") == F.col("query")).select("chunk_id", F.inline(mine)).select("chunk_id", "neighbour_id", "similarity")
 
 
-def similar_pairs(vectors: DataFrame, k: int = 5, least: float = 0.9, width: int = 64) -> DataFrame:
+def similar_pairs(vectors: DataFrame, k: int = 5, least: float = 0.9, width: int = 64, recall: float = 1.0, exact: bool = False) -> DataFrame:
     """Pairs of chunks at least ``least`` similar, one among the ``k`` nearest of the other: (chunk_id_a, chunk_id_b), a < b.
 
-    A float has seven digits; a similarity within 1e-6 of ``least`` counts as reached.
+    Queries visit NEAR_MARGIN times as many cells as the share ``recall`` of the near neighbours of NEAR_PROBES queries
+    lies in, 1 being all of them; with ``exact`` all cells. A float has seven digits; a similarity within 1e-6 of ``least`` counts as reached.
     """
-    found = nearest(vectors, k, least - 1e-6, width=width)
+    found = nearest(vectors, k, least - 1e-6, recall=recall, width=width, probes=NEAR_PROBES, margin=NEAR_MARGIN, exact=exact)
     return found.select(F.least("chunk_id", "neighbour_id").alias("chunk_id_a"), F.greatest("chunk_id", "neighbour_id").alias("chunk_id_b")).distinct()

@@ -81,6 +81,13 @@ SELECT id AS chunk_id, class_id, coalesce(n_links, 0) AS n_links FROM cl LEFT JO
     "p3_checked": _OVERSIZED + " SELECT chunk_id, true AS within, true AS covers, true AS shares FROM o",
     "p6_round_trip": "SELECT doc_id, length(coalesce(text, '')) AS n_chars, true AS same FROM documents",
     "p7_checked": "SELECT doc_id, true AS whole, true AS within FROM documents",
+    "p4_found": """
+WITH v AS (
+  SELECT chunk_id, any_value(embedding)::DOUBLE[] AS x FROM vectors
+  WHERE chunk_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda y: y IS NULL OR isnan(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0 GROUP BY chunk_id
+), n AS (SELECT a.chunk_id AS a, b.chunk_id AS b, list_cosine_similarity(a.x, b.x) AS s FROM v a JOIN v b ON a.chunk_id <> b.chunk_id WHERE list_cosine_similarity(a.x, b.x) >= 0.899999),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rank FROM n)
+SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM r WHERE rank <= 5""",
     "p5_found": _CANONICAL
     + """, g AS (SELECT kind, id, min(id) OVER (PARTITION BY kind, k) AS keep_id FROM keyed)
 SELECT kind, keep_id, id AS copy_id FROM g WHERE id <> keep_id""",
