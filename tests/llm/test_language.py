@@ -37,10 +37,19 @@ def test_labels(spark, samples):
     assert found(spark, samples, *((i, x, EN) for i, x in enumerate(good))) == []
     bad = [None, "", "??", "n/a", "und", "de", "zh-CN", "xx", "Klingon"]
     assert found(spark, samples, *((i, x, EN) for i, x in enumerate(bad))) == [(i, 0, "en") for i in range(len(bad))]
-    codes = spark.createDataFrame([("zh_Hans",), ("Chinese",), ("pt-BR",), ("deu",), ("de-AT",), (None,)], "x string").select(L.label_code(F.col("x"))).collect()
+    codes = spark.createDataFrame([("zh_Hans",), ("Chinese",), ("pt-BR",), ("deu",), ("de-AT",), (None,)], "x string").select(L.label_code(F.col("x"), list(L.SPELLINGS))).collect()
     assert [r[0] for r in codes] == ["zh", "zh", "pt", "de", "de", None]
 
 
+def test_a_language_of_the_samples_is_no_wrong_label(spark, samples):
+    finnish = ["Vanha anturi peitti sillan sataman lähellä.", "Jokainen lamppu seisoi hyllyn vieressä koko yön.", "Kukaan ei huomannut, että venttiili oli suljettu aamulla.", "Korjasimme hitaasti kaikki pumput ennen talvea."]
+    more = samples.select("lang", "sample_text").unionByName(spark.createDataFrame([("fi", x) for x in finnish for _ in range(15)], "lang string, sample_text string"))
+    rows = [(1, "fi", finnish[0]), (2, "Suomi", finnish[1]), (3, "en", finnish[2]), (4, "en", EN)]
+    assert found(spark, more, *rows) == [(2, 0, "fi"), (3, 0, "fi")]
+    df = spark.createDataFrame([(2, finnish[1], "Suomi")], "doc_id long, text string, lang string")
+    assert L.mislabelled(df, more, {"fi": "suomi finnish"}).count() == 0
+
+
 def test_segments(spark, samples):
     text = f"\ufeff---\ntitle: {DE}\n---\n# {DE}\n{EN} {EN}\r\n\n- [ ] {DE}\n> {ZH}{ZH}\n\n| {FR} | {FR} |\n```\n{FR}\n```\n{ZH}\n1. {EN} 🚀\n{FR}"
     assert found(spark, samples, (1, "en", text)) == [(1, 5, "en"), (1, 7, "de"), (1, 8, "zh"), (1, 15, "en"), (1, 16, "fr")]

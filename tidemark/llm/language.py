@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Mapping
 from functools import lru_cache
 
 import numpy as np
@@ -52,6 +52,8 @@ _ITEM = re.compile(r"[ \t 　]*(?:[-*+•]|\d{1,9}[.)])[ \t 　]+")
 _NOISE = re.compile(r"(`+)[^`\n]*\1|<[^<>\n]{1,200}>|(?<=\])\([^()\n]*\)|(?<=\])\[[^\[\]\n]*\]|\bhttps?://[^\s)>\]]+|\[\^[^\[\]\n]*\]|&[a-z]+;")
 #: Set-off phrases inside a sentence.
 _ASIDE = re.compile(r"\([^()\n]*\)|（[^（）\n]*）|\*+[^*\n]+\*+|(?<!\w)_+[^_\n]+_+(?!\w)|«[^«»\n]*»|“[^“”\n]*”|„[^„“\n]*“|「[^「」\n]*」|《[^《》\n]*》|\"[^\"\n]*\"")
+#: A line or sentence without any of these has no such spans or phrases.
+NOISY, ASIDES = ("`", "<", "]", "http", "&"), tuple("(（*_«“„「《\"")
 _STOP = re.compile(r"[.!?…]+[\"'”’»“)\]*_~`]*(?=\s|$)|[。！？]+[」』”’）)\]*_~`»\"]*")
 _HAN = re.compile(r"[一-鿿]")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -91,17 +93,21 @@ def prose(text: str) -> Iterator[tuple[int, str, bool]]:
             continue
         if _ITEM.match(line):
             fresh = True
-        yield i + 1, _NOISE.sub(" ", line[_MARK.match(line).end() :]), fresh
+        line = line[_MARK.match(line).end() :]
+        yield i + 1, _NOISE.sub(" ", line) if any(map(line.__contains__, NOISY)) else line, fresh
         fresh = False
 
 
 def _full(sentence: str) -> bool:
     """Whether it has the letters and words of a full sentence."""
-    han = len(_HAN.findall(sentence))
-    if han >= LEAST_HAN:
+    if not sentence.isascii() and len(_HAN.findall(sentence)) >= LEAST_HAN:
         return True
-    words = _WORD.findall(sentence)
-    return len(words) >= LEAST_WORDS and sum(map(len, words)) >= LEAST_LETTERS
+    letters = 0
+    for words, m in enumerate(_WORD.finditer(sentence), 1):
+        letters += m.end() - m.start()
+        if words >= LEAST_WORDS and letters >= LEAST_LETTERS:
+            return True
+    return False
 
 
 def sentences(text: str) -> list[tuple[int, str]]:
@@ -130,6 +136,8 @@ def sentences(text: str) -> list[tuple[int, str]]:
 
 def essence(sentence: str) -> str:
     """A sentence without set-off phrases, if what is left still is a full sentence."""
+    if not any(map(sentence.__contains__, ASIDES)):
+        return sentence
     rest = _ASIDE.sub(" ", sentence)
     return rest if _full(rest) else sentence
 
@@ -265,7 +273,7 @@ def train(samples: DataFrame, rows: int = SAMPLE_ROWS):
     return samples.sparkSession.sparkContext.broadcast(fit([r.sample_text for r in drawn], [r.lang for r in drawn]))
 
 
-def segments(documents: DataFrame, samples: DataFrame) -> DataFrame:
+def segments(documents: DataFrame, samples: DataFrame, model=None) -> DataFrame:
     """Languages of every row: (doc_id, label, segment_no, line_no, lang, confidence, sentences, mixed).
 
     A text in one language has one row with line_no 0. A text with full sentences in several has one for each
@@ -273,28 +281,30 @@ def segments(documents: DataFrame, samples: DataFrame) -> DataFrame:
     sentence is judged by all its letters and has ``sentences`` 0; one without letters, an empty or a null one has
     a null language and confidence 0. Headings, frontmatter, tables and code make no segment; set-off foreign
     phrases inside a sentence don't count. ``label`` is the row's ``lang`` as it came. Without samples no row has a
-    language.
+    language. The model is fitted while the plan is built, unless one from ``train`` is given.
     """
-    model = train(samples)
+    model = model or train(samples)
     rows = documents.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
     if not model.value[0]:
         return rows.selectExpr("doc_id", "lang as label", "0 as segment_no", "0 as line_no", "cast(null as string) as lang", "0d as confidence", "0 as sentences", "false as mixed")
     return spread(rows).mapInArrow(_labeller(model), SEGMENTS)
 
 
-def label_code(label: Column) -> Column:
-    """The ISO 639-1 code a label means, if it is a spelling of one of the languages; else null."""
+def label_code(label: Column, langs: Iterable[str], spellings: Mapping[str, str] = SPELLINGS) -> Column:
+    """The code of ``langs`` a label means: the code itself or one of its spellings, blank-separated by code; else null."""
     first = F.regexp_extract(F.lower(F.regexp_replace(label, r"(?U)^\s+|\s+$", "")), r"^([^\-_.,;/( ]+)", 1)
-    pairs = [F.lit(x) for code, names in SPELLINGS.items() for name in names.split() for x in (name, code)]
-    return F.try_element_at(F.create_map(*pairs), first)
+    pairs = {name: code for code in langs for name in (*spellings.get(code, "").split(), code.lower())}
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in pairs.items() for x in pair)), first) if pairs else F.lit(None).cast("string")
 
 
-def mislabelled(documents: DataFrame, samples: DataFrame) -> DataFrame:
+def mislabelled(documents: DataFrame, samples: DataFrame, spellings: Mapping[str, str] = SPELLINGS) -> DataFrame:
     """Missing or wrong labels and the segments of mixed texts: (doc_id, line_no, lang), distinct rows.
 
     A text in one language is a case if its label is null, names no language or another one. A mixed text is a
-    case whatever its label, a row for each segment. Texts without a full sentence are no case.
+    case whatever its label, a row for each segment. Texts without a full sentence are no case. The languages are
+    those of the samples; a label may be a language's code or one of its ``spellings``.
     """
-    found = segments(documents, samples).where(F.col("sentences") > 0)
-    wrong = ~F.coalesce(label_code(F.col("label")) == F.col("lang"), F.lit(False))
+    model = train(samples)
+    found = segments(documents, samples, model).where(F.col("sentences") > 0)
+    wrong = ~F.coalesce(label_code(F.col("label"), model.value[0], spellings) == F.col("lang"), F.lit(False))
     return found.where(F.col("mixed") | wrong).select("doc_id", "line_no", "lang").distinct()
