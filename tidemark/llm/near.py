@@ -17,17 +17,18 @@ from tidemark.session import materialise, shuffle_partitions, spread
 from tidemark.sources.tables import not_deleted
 
 #: A pair is a candidate if all ROWS MinHash values of one of BANDS bands agree. At a similarity of 0.5 a pair is
-#: missed with (1 - 0.5 ** ROWS) ** BANDS = 0.5 %, at 0.6 with 0.006 %, at 0.7 with less than one in ten million.
-BANDS, ROWS = 40, 3
-#: Values compared at a time, and how likely a pair must still be to reach the threshold.
-STEP, STEPS, TOLERANCE = 16, 4, 0.002
+#: missed with (1 - 0.5 ** ROWS) ** BANDS = 4.5 %, at 0.55 with 1 %, at 0.6 with 0.13 %, at 0.7 with 2 in a million.
+BANDS, ROWS = 48, 4
+#: Values compared until each look, and how likely a pair must still be to reach the threshold. The first 64 travel with
+#: every band entry, the others are fetched only for pairs that those leave.
+NEAR_LOOKS, FAR_LOOKS, TOLERANCE = (16, 32, 48, 64), (128, 192), 0.002
 #: Band entries of a bucket on average; buckets of more than HOT are split, into parts of at most half as many.
 BUCKET, HOT = 16_384, 65_536
 MOST_BUCKETS = 1 << 18
 #: Slots that the exact search counts shingles in, to know the rare ones.
 SLOTS = 1 << 20
 
-SKETCH = "id long, updated_at long, gone boolean, k1 long, k2 long, text_class long, bands binary, bits long"
+SKETCH = "id long, updated_at long, gone boolean, k1 long, k2 long, text_class long, bands binary, bits binary"
 ENTRIES = "task int, is_cross boolean, side boolean, entries binary"
 PAIRS = "a long, b long"
 SETS = "text_class long, shingles binary"
@@ -55,9 +56,9 @@ def _signatures(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _pack_bits(signatures: np.ndarray) -> np.ndarray:
-    """One bit of each of the first 64 values of a signature."""
-    bits = (signatures[:, : STEP * STEPS] >> np.uint32(13)) & np.uint32(1)
-    return np.packbits(bits.astype(np.uint8), axis=1, bitorder="little").view("<u8").ravel()
+    """One bit of each of the values of a signature that are compared, 64 to a word, a row each text."""
+    bits = (signatures[:, : FAR_LOOKS[-1]] >> np.uint32(13)) & np.uint32(1)
+    return np.packbits(bits.astype(np.uint8), axis=1, bitorder="little")
 
 
 def _band_keys(signatures: np.ndarray) -> np.ndarray:
@@ -113,16 +114,16 @@ def _sketcher(words: int, min_tokens: int, exact: float | None, frequency):
                 n = hi - lo
                 values, of = _text_shingles(texts[lo:hi], words, min_tokens)
                 at, starts = np.unique(of, return_index=True)
-                classes, bits, bands = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, None, object)
+                classes, bits, bands = np.zeros(n, np.int64), np.full(n, None, object), np.full(n, None, object)
                 if len(at):
                     sizes = np.diff(np.append(starts, len(values))).astype(np.uint64)
                     classes[at] = K.mix(np.add.reduceat(K.mix(values), starts) + sizes).view(np.int64)
                     found = _signatures(values, starts)
-                    bits[at] = _pack_bits(found).view(np.int64)
+                    bits[at] = [x.tobytes() for x in _pack_bits(found)]
                     bands[at] = [x.tobytes() for x in _band_keys(found)] if exact is None else _prefixes(values, starts, exact, frequency.value)
                 none = ~np.isin(np.arange(n), at)
                 yield pa.RecordBatch.from_arrays(
-                    [*small.slice(lo, n).columns, pa.array(classes, mask=none), pa.array(bands, pa.binary()), pa.array(bits, mask=none)],
+                    [*small.slice(lo, n).columns, pa.array(classes, mask=none), pa.array(bands, pa.binary()), pa.array(bits, pa.binary())],
                     names=[*small.schema.names, "text_class", "bands", "bits"],
                 )
 
@@ -181,6 +182,11 @@ def _keys(batch: pa.RecordBatch, buckets: int, numbered: bool) -> tuple[np.ndarr
     return bucket, (hashes >> np.uint64(48)).astype("<u2"), np.repeat(np.arange(len(rows)), sizes), rows
 
 
+def _words(column: pa.Array) -> np.ndarray:
+    """The bits of signatures as words of 64, a row each."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(len(column), FAR_LOOKS[-1] // 64)
+
+
 def _counter(buckets: int, numbered: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
@@ -200,7 +206,7 @@ def _banded(tasks: Tasks, numbered: bool):
             entries = np.empty(len(bucket), ENTRY)
             entries["key"] = key
             entries["text_class"] = batch.column("text_class").to_numpy()[rows][text]
-            entries["bits"] = batch.column("bits").to_numpy()[rows].view(np.uint64)[text]
+            entries["bits"] = _words(batch.column("bits").take(pa.array(rows)))[text, 0]
             for at, task, cross, side in tasks.spread(bucket, entries["text_class"].copy()):
                 if not len(at):
                     continue
@@ -216,8 +222,8 @@ def _banded(tasks: Tasks, numbered: bool):
 
 
 @lru_cache(8)
-def least_agreements(threshold: float, tolerance: float) -> tuple[int, ...]:
-    """After each step of STEP bits, the fewest that must agree for a pair to be kept.
+def least_agreements(threshold: float, tolerance: float) -> dict[int, int]:
+    """By number of bits compared, the fewest that must agree for a pair to be kept.
 
     Of texts of similarity s, a bit agrees with probability (1 + s) / 2. With every s equally likely beforehand, a
     pair is dropped when the probability that s reaches the threshold, given the agreements so far, is below
@@ -225,27 +231,44 @@ def least_agreements(threshold: float, tolerance: float) -> tuple[int, ...]:
     """
     s = np.linspace(0, 1, 4001)
     p = np.clip((1 + s) / 2, 1e-12, 1 - 1e-12)
-    out = []
-    for step in range(1, STEPS + 1):
-        n = step * STEP
+    out = {}
+    for n in (*NEAR_LOOKS, *FAR_LOOKS):
         log = np.arange(n + 1)[:, None] * np.log(p) + (n - np.arange(n + 1))[:, None] * np.log(1 - p)
         weight = np.exp(log - log.max(1, keepdims=True))
         after = weight[:, s >= threshold].sum(1) / weight.sum(1)
-        out.append(int(np.argmax(after >= tolerance)))
-    return tuple(out)
+        out[n] = int(np.argmax(after >= tolerance))
+    return out
 
 
 def prune(left: np.ndarray, right: np.ndarray, threshold: float, tolerance: float) -> np.ndarray:
-    """Positions of the pairs that stay after every step; each step looks only at what the one before left."""
+    """Positions of the pairs that stay after every look at their first word; each looks only at what the one before left."""
     alive = np.arange(len(left))
     differ = left ^ right
-    for step, least in enumerate(least_agreements(threshold, tolerance)):
-        mask = np.uint64((1 << (STEP * (step + 1))) - 1)
-        agree = STEP * (step + 1) - np.bitwise_count(differ[alive] & mask).astype(np.int64)
-        alive = alive[agree >= least]
+    for n in NEAR_LOOKS:
+        mask = np.uint64((1 << n) - 1)
+        agree = n - np.bitwise_count(differ[alive] & mask).astype(np.int64)
+        alive = alive[agree >= least_agreements(threshold, tolerance)[n]]
+    return alive
+
+
+def prune_further(left: np.ndarray, right: np.ndarray, threshold: float, tolerance: float) -> np.ndarray:
+    """The same for the words after it."""
+    alive = np.arange(len(left))
+    for n in FAR_LOOKS:
+        agree = n - np.bitwise_count(left[alive, : n // 64] ^ right[alive, : n // 64]).sum(1).astype(np.int64)
+        alive = alive[agree >= least_agreements(threshold, tolerance)[n]]
     return alive
 
 
+def _pruner(threshold: float, tolerance: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = pa.array(prune_further(_words(batch.column("x")), _words(batch.column("y")), threshold, tolerance))
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], names=["a", "b"])
+
+    return run
+
+
 def _pairs(entries: np.ndarray, side: np.ndarray, cross: bool, threshold: float, tolerance: float) -> pa.RecordBatch:
     """The pairs of equal keys that pruning leaves; with ``cross`` only those of two sides."""
     order = np.lexsort((entries["text_class"], entries["key"]))
@@ -335,7 +358,7 @@ def similar_classes(chunks: DataFrame, words: int = 3, threshold: float = 0.5, m
     a < b, classes whose sets of runs of ``words`` tokens have a Jaccard similarity of at least ``threshold``.
     Equal texts are one class from the first task on, so copies, however many, cost no pairs. Which bands are hot is
     counted before anything is compared: a bucket of too many entries is split, and every two of its parts meet in a
-    task of their own. Only texts that are in a candidate are read again, and turned into shingle sets once.
+    task of their own. What 64 MinHash bits leave there is compared by 192 of them. Only texts that are in a candidate are read again, and turned into shingle sets once.
 
     ``exact`` finds every pair: candidates are then all that share one of the shingles of which two similar texts must
     share one, and none is pruned. It costs as many comparisons as there are pairs with a shingle in common there.
@@ -351,7 +374,12 @@ def similar_classes(chunks: DataFrame, words: int = 3, threshold: float = 0.5, m
     tasks = Tasks.of(buckets, {r.bucket: r.n for r in sizes.where(F.col("n") > limit).collect()}, limit // 2)
     entries = banded.mapInArrow(_banded(tasks, not exact), ENTRIES)
     matched = entries.repartition("task").sortWithinPartitions("task").mapInArrow(_matcher(threshold, 0.0 if exact else tolerance), PAIRS)
-    candidates = materialise(matched.distinct(), "near-candidates")
+    candidates = matched.distinct()
+    if not exact:
+        more = banded.groupBy("text_class").agg(F.first("bits").alias("bits"))  # equal sets have equal bits
+        both = candidates.join(more.select(F.col("text_class").alias("a"), F.col("bits").alias("x")), "a").join(more.select(F.col("text_class").alias("b"), F.col("bits").alias("y")), "b")
+        candidates = both.select("a", "b", "x", "y").mapInArrow(_pruner(threshold, tolerance), PAIRS)
+    candidates = materialise(candidates, "near-candidates")
 
     first = members.groupBy("text_class").agg(F.min(F.struct("id", "updated_at")).alias("row"))
     ends = candidates.select(F.explode(F.array("a", "b")).alias("text_class")).distinct()
