@@ -29,8 +29,8 @@ PART_ENTRIES = 32_768
 QUERY_BLOCK = 8_192
 #: Queries answered exactly to see how far a search must go: for all neighbours, and for near ones, of which many queries have none.
 PROBES, NEAR_PROBES = 200, 4_096
-#: Near neighbours are so few that the probes' own lie less far than some others: a search for them goes so many times as far.
-NEAR_MARGIN = 2.0
+#: The share of the probes' near neighbours that a search for all near pairs must reach.
+NEAR_RECALL = 0.998
 #: Distances worked on at a time.
 WORK = 1 << 22
 
@@ -366,14 +366,14 @@ def _searcher(books, width: int, k: int, least: float, mutual: bool):
 
 
 def nearest(
-    vectors: DataFrame, k: int = 5, least: float = -1.0, cells: int = 1, recall: float | None = None, asked: Column | None = None, width: int = 64, probes: int = PROBES, margin: float = 1.0, exact: bool = False
+    vectors: DataFrame, k: int = 5, least: float = -1.0, cells: int = 1, recall: float | None = None, asked: Column | None = None, width: int = 64, probes: int = PROBES, exact: bool = False
 ) -> DataFrame:
     """The ``k`` most similar other chunks of each asked chunk: (chunk_id, neighbour_id, similarity).
 
     Only embeddings of exactly ``width`` finite numbers, not all zero, count, one per chunk_id; others are in no
     result. Every usable vector is in the index; those for which ``asked`` holds (all, if None) are queries. A
     query visits ``cells`` cells of the index, or, if that is more, as many as the share ``recall`` of the
-    neighbours of ``probes`` queries, found exactly in the same run, lies in, times ``margin``; with ``exact`` all of them. ``least``
+    neighbours of ``probes`` queries, found exactly in the same run, lies in; with ``exact`` all of them. ``least``
     leaves out less similar neighbours. Ties go to the smaller neighbour_id. Equal vectors are one entry, so a large
     group of them costs one; a dense region of many different ones is split over partitions. An empty table gives no
     rows. Building the plan counts the rows, fits the codebooks on a sample and answers the probes.
@@ -399,7 +399,7 @@ def nearest(
     if exact:
         visit = len(fitted.first) * len(fitted.second)
     else:
-        visit = cells if recall is None else max(cells, round(margin * cells_for(recall, rows, books, points[:probes], width, k, least, mutual)))
+        visit = cells if recall is None else max(cells, cells_for(recall, rows, books, points[:probes], width, k, least, mutual))
     flag = F.lit(True) if mutual else F.coalesce(asked, F.lit(False))
     routed = rows.withColumn("asked", flag).mapInArrow(_router(books, width, visit, mutual), ROUTED)
     found = routed.repartitionById(fitted.parts, F.col("part")).sortWithinPartitions("part", "is_query").mapInArrow(_searcher(books, width, k, least, mutual), MATCHES)
@@ -476,11 +476,11 @@ def _named(members: DataFrame, matches: DataFrame, flag: Column, k: int) -> Data
     return asking.join(lists, F.col("vector_class") == F.col("query")).select("chunk_id", F.inline(mine)).select("chunk_id", "neighbour_id", "similarity")
 
 
-def similar_pairs(vectors: DataFrame, k: int = 5, least: float = 0.9, width: int = 64, recall: float = 1.0, exact: bool = False) -> DataFrame:
+def similar_pairs(vectors: DataFrame, k: int = 5, least: float = 0.9, width: int = 64, recall: float = NEAR_RECALL, exact: bool = False) -> DataFrame:
     """Pairs of chunks at least ``least`` similar, one among the ``k`` nearest of the other: (chunk_id_a, chunk_id_b), a < b.
 
-    Queries visit NEAR_MARGIN times as many cells as the share ``recall`` of the near neighbours of NEAR_PROBES queries
-    lies in, 1 being all of them; with ``exact`` all cells. A float has seven digits; a similarity within 1e-6 of ``least`` counts as reached.
+    Queries visit as many cells as the share ``recall`` of the near neighbours of NEAR_PROBES queries lies in; with
+    ``exact`` all cells. A float has seven digits; a similarity within 1e-6 of ``least`` counts as reached.
     """
-    found = nearest(vectors, k, least - 1e-6, recall=recall, width=width, probes=NEAR_PROBES, margin=NEAR_MARGIN, exact=exact)
+    found = nearest(vectors, k, least - 1e-6, recall=recall, width=width, probes=NEAR_PROBES, exact=exact)
     return found.select(F.least("chunk_id", "neighbour_id").alias("chunk_id_a"), F.greatest("chunk_id", "neighbour_id").alias("chunk_id_b")).distinct()
