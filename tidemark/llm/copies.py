@@ -37,17 +37,19 @@ def canonical_text(content: Column) -> Column:
     return F.when(plain == "", F.lit(None)).when(shaped & whole, F.array_join(F.array_sort(fields), "\n")).otherwise(plain)
 
 
-def key_columns(canonical: Column) -> list[Column]:
-    """128 bits that stand for a canonical text; null for null."""
-    known = canonical.isNotNull()
-    return [F.when(known, F.xxhash64(canonical)).alias("k1"), F.when(known, F.xxhash64(F.lit("second"), canonical)).alias("k2")]
+def with_keys(rows: DataFrame, canonical: Column) -> DataFrame:
+    """``rows`` with (k1, k2), 128 bits that stand for the canonical text; null for null. A column of its own lets it be made once a row."""
+    known = F.col("_canonical").isNotNull()
+    k1, k2 = F.xxhash64("_canonical"), F.xxhash64(F.lit("second"), F.col("_canonical"))
+    return rows.withColumn("_canonical", canonical).select(*rows.columns, F.when(known, k1).alias("k1"), F.when(known, k2).alias("k2"))
 
 
 def live_keys(files: DataFrame, chunks: DataFrame) -> DataFrame:
     """(kind, id, k1, k2) of every live file with a hash and live chunk with content. Only hashes are shuffled."""
     gone = (~not_deleted()).alias("gone")
-    file_keys = current(files.select("id", "updated_at", gone, *key_columns(F.nullif(folded(F.col("file_hash")), F.lit("")))), "gone", "k1", "k2")
-    chunk_keys = current(spread(chunks.select("id", "updated_at", "is_deleted", "content")).select("id", "updated_at", gone, *key_columns(canonical_text(F.col("content")))), "gone", "k1", "k2")
+    file_keys = current(with_keys(files.select("id", "updated_at", gone, "file_hash"), F.nullif(folded(F.col("file_hash")), F.lit(""))), "gone", "k1", "k2")
+    texts = spread(chunks.select("id", "updated_at", "is_deleted", "content")).select("id", "updated_at", gone, "content")
+    chunk_keys = current(with_keys(texts, canonical_text(F.col("content"))), "gone", "k1", "k2")
     both = file_keys.withColumn("kind", F.lit("file")).unionByName(chunk_keys.withColumn("kind", F.lit("chunk")))
     return both.where(~F.col("gone") & F.col("k1").isNotNull()).select("kind", "id", "k1", "k2")
 

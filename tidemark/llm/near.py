@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import kernel as K
-from tidemark.llm.copies import canonical_text, key_columns
+from tidemark.llm.copies import canonical_text, with_keys
 from tidemark.session import materialise, shuffle_partitions, spread
 from tidemark.sources.tables import not_deleted
 
@@ -132,9 +132,9 @@ def _sketcher(words: int, min_tokens: int, exact: float | None, frequency):
 
 def sketches(chunks: DataFrame, words: int, min_tokens: int, exact: float | None = None) -> DataFrame:
     """A row of each row of ``chunks``: small columns, class of the shingle set, band keys, and bits; one pass over the texts."""
-    rows = spread(chunks.where(F.col("id").isNotNull()).select("id", "updated_at", "is_deleted", "content")).select(
-        F.col("id").cast("long"), F.col("updated_at").cast("long"), (~not_deleted() | F.col("content").isNull()).alias("gone"), *key_columns(canonical_text(F.col("content"))), "content"
-    )
+    given = spread(chunks.where(F.col("id").isNotNull()).select("id", "updated_at", "is_deleted", "content"))
+    given = given.select(F.col("id").cast("long"), F.col("updated_at").cast("long"), (~not_deleted() | F.col("content").isNull()).alias("gone"), "content")
+    rows = with_keys(given, canonical_text(F.col("content"))).select("id", "updated_at", "gone", "k1", "k2", "content")
     frequency = None if exact is None else chunks.sparkSession.sparkContext.broadcast(_frequencies(rows, words, min_tokens))
     return rows.mapInArrow(_sketcher(words, min_tokens, exact, frequency), SKETCH)
 
