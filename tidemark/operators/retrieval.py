@@ -76,8 +76,11 @@ def bm25(index: TextIndex, queries: Sequence[str], within: DataFrame | None = No
     n, avgdl = totals.select("n").scalar(), totals.select(F.try_divide("total", "n").alias("a")).scalar()
     # the phrases come from the caller's list of queries, so their number is known here
     hits = spots.join(F.broadcast(asked), "term")
-    starts = hits.groupBy("query_no", "phrase_no", "chunk_id", (F.col("position") - F.col("part")).alias("start")).agg(F.count("*").alias("found"), F.first("parts").alias("parts"), F.first("dl").alias("dl"), F.first("times").alias("times"))
-    counts = starts.where(F.col("found") == F.col("parts")).groupBy("query_no", "phrase_no", "chunk_id").agg(F.count("*").alias("f"), F.first("dl").alias("dl"), F.first("times").alias("times"))
+    by, held = ("query_no", "phrase_no", "chunk_id"), [F.first(c).alias(c) for c in ("dl", "times")]
+    counts = hits.where(F.col("parts") == 1).groupBy(*by).agg(F.count("*").alias("f"), *held)
+    if any(p[4] > 1 for p in parts):  # a phrase of several terms is there where all of them are in their places
+        several = hits.where(F.col("parts") > 1).groupBy(*by, (F.col("position") - F.col("part")).alias("start")).agg(F.count("*").alias("found"), F.first("parts").alias("parts"), *held)
+        counts = counts.unionByName(several.where(F.col("found") == F.col("parts")).groupBy(*by).agg(F.count("*").alias("f"), *held))
     rows_with = counts.groupBy("query_no", "phrase_no").agg(F.count("*").alias("df"))
     scored = counts.join(F.broadcast(rows_with), ["query_no", "phrase_no"])
     raw = F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -42,6 +42,9 @@ BATCH = ["sensor", "the bridge of the harbor", "été l'index de la bobine", "ho
 VAULTS = ["tidewater", "fieldbook"]
 WIDTH = 64
 
+#: Indexes that are open, by folder.
+_OPEN: dict[str, Index] = {}
+
 FILE_COLUMNS = ("vault_name", "file_path", "absolute_path", "file_hash", "file_size", "mtime", "is_deleted", "created_at")
 CHUNK_COLUMNS = ("file_id", "chunk_index", "content", "content_type", "section_title", "section_path", "start_pos", "end_pos", "metadata", "confidence_json", "is_deleted", "created_at")
 
@@ -89,7 +92,11 @@ def index_of(spark: SparkSession, d: str) -> Index:
     root = f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}/index-{_state_of(spark, d)}"
     scratch(spark, "index")  # whatever lies beside it goes with the application
     store = Store(spark, root)
-    return store.index() if store.version() else build_index(spark, d, root)
+    if not store.version():
+        _OPEN[root] = build_index(spark, d, root)
+    elif root not in _OPEN:
+        _OPEN[root] = store.index()
+    return _OPEN[root]
 
 
 def index_build(spark: SparkSession, d: str) -> DataFrame:
