@@ -81,6 +81,16 @@ def test_exact_finds_all(spark):
     assert {tuple(r) for r in N.similar_pairs(table(spark, rows), exact=True).collect()} == brute(rows)
 
 
+def test_links_of_classes(spark):
+    rows = corpus(9, 40)
+    sets = {i: frozenset(zip(*(TOKEN.findall(x.lower())[k:] for k in range(3)), strict=False)) for i, x, gone, _ in rows if not gone and len(TOKEN.findall(x.lower())) >= 40}
+    first = {s: min(i for i, o in sets.items() if o == s) for s in sets.values()}
+    links = {i: sum(o != s and len(s & o) >= 0.5 * len(s | o) for o in first) for i, s in sets.items()}
+    got = {r.chunk_id: (r.class_id, r.n_links) for r in N.similarity_classes(table(spark, rows)).collect()}
+    assert {i: c for i, (c, _) in got.items()} == {i: first[s] for i, s in sets.items()}
+    assert all(n <= links[i] for i, (_, n) in got.items()) and sum(n for _, n in got.values()) >= 0.98 * sum(links.values()) > 0
+
+
 def test_every_two_entries_meet_once():
     rng = np.random.default_rng(0)
     tasks = N.Tasks.of(4, {1: 100, 3: 41}, 20)

@@ -71,12 +71,6 @@ SQL = {
     + _SHINGLES
     + """, ky AS (SELECT live.id, coalesce(k, '') AS k FROM live LEFT JOIN keyed ON keyed.kind = 'chunk' AND keyed.id = live.id WHERE live.kind = 'chunk')
 SELECT a AS chunk_id_a, b AS chunk_id_b FROM pr JOIN ky x ON x.id = a JOIN ky y ON y.id = b WHERE similarity >= 0.5 AND x.k <> y.k""",
-    "p2_classes": _CANONICAL
-    + _SHINGLES
-    + """, cl AS (SELECT id, min(id) OVER (PARTITION BY s) AS class_id FROM sc),
-ends AS (SELECT DISTINCT least(x.class_id, y.class_id) AS c, greatest(x.class_id, y.class_id) AS o FROM pr JOIN cl x ON x.id = a JOIN cl y ON y.id = b WHERE similarity >= 0.5 AND x.class_id <> y.class_id),
-n AS (SELECT class_id, count(*) AS n_links FROM (SELECT c AS class_id FROM ends UNION ALL SELECT o FROM ends) GROUP BY 1)
-SELECT id AS chunk_id, class_id, coalesce(n_links, 0) AS n_links FROM cl LEFT JOIN n USING (class_id)""",
     "p3_found": _OVERSIZED + " SELECT chunk_id FROM o",
     "p3_checked": _OVERSIZED + " SELECT chunk_id, true AS within, true AS covers, true AS shares FROM o",
     "p6_round_trip": "SELECT doc_id, length(coalesce(text, '')) AS n_chars, true AS same FROM documents",
