@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.segment import segment_texts
@@ -19,6 +18,8 @@ from tidemark.sources.tables import not_deleted
 #: Chunks for which a bucket of terms is made, and for which its files are split once more.
 BUCKET_CHUNKS, SALT_CHUNKS = 25_000, 1_000_000
 LEAST_BUCKETS, MOST_BUCKETS = 8, 4_096
+#: How many ids of a list a scan checks against its pages: those of the largest search.
+IN_LIST, IDS_TOLD = "spark.sql.parquet.pushdown.inFilterThreshold", 20_000
 
 
 @dataclass(frozen=True)
@@ -49,12 +50,16 @@ class Index:
     text: TextIndex
 
 
-def any_of(column: str, values: Iterable) -> Column:
-    """Whether the column is one of a few values, as equalities, which the scan checks against its pages however many they are."""
-    tests = [F.col(column) == F.lit(v) for v in values]
-    while len(tests) > 1:  # a balanced tree stays shallow
-        tests = [reduce(lambda a, b: a | b, tests[i : i + 2]) for i in range(0, len(tests), 2)]
-    return tests[0] if tests else F.lit(False)
+def of_ids(rows: DataFrame, column: str, ids: Sequence[int]) -> DataFrame:
+    """The rows of a few ids, read from the pages that may hold them.
+
+    The scan is told all ids: of a list longer than a setting of the session it would only know the least and the
+    greatest, so the setting is raised to IDS_TOLD where it is lower.
+    """
+    conf = rows.sparkSession.conf
+    if int(conf.get(IN_LIST)) < IDS_TOLD:
+        conf.set(IN_LIST, str(IDS_TOLD))
+    return rows.where(F.col(column).isin(list(ids)))
 
 
 def weighted_texts(files: DataFrame, chunks: DataFrame) -> DataFrame:

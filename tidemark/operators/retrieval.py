@@ -8,15 +8,15 @@ import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.config import Confidence
 from tidemark.functions import vectors as V
 from tidemark.functions.confidence import confidence, query_time
 from tidemark.operators.dedup import semantic_dedup
-from tidemark.operators.index import Index, TextIndex, any_of
+from tidemark.operators.index import Index, TextIndex, of_ids
 from tidemark.sources.tables import not_deleted
 
 #: BM25's parameters, and the weight of a term that most rows have.
@@ -68,7 +68,8 @@ def bm25(index: TextIndex, queries: Sequence[str], within: DataFrame | None = No
         for p in query_phrases(query):
             phrases[tuple(p)] = phrases.get(tuple(p), 0) + 1
         parts += [(q, n, i, term, len(p), times) for n, (p, times) in enumerate(phrases.items()) for i, term in enumerate(p)]
-    asked = spark.createDataFrame(parts, "query_no int, phrase_no int, part int, term string, parts int, times int")
+    names = ("query_no", "phrase_no", "part", "term", "parts", "times")
+    asked = spark.createDataFrame(pa.table({c: pa.array([p[k] for p in parts], pa.string() if c == "term" else pa.int32()) for k, c in enumerate(names)}))
     spots, totals = index.of(p[3] for p in parts).select("chunk_id", "dl", "term", "position"), index.totals
     if within is not None:
         rows = index.lengths.join(within.select("chunk_id"), "chunk_id", "left_semi")
@@ -184,8 +185,7 @@ def search(
     if not 0 < limit <= MOST_RESULTS:
         raise ValueError(f"a search gives 1 to {MOST_RESULTS} results, not {limit}")
     rules = rules or Confidence.shipped()
-    shape = T.StructType([T.StructField("chunk_id", T.LongType()), T.StructField("semantic_score", T.DoubleType()), T.StructField("keyword_score", T.DoubleType())])
-    got = []
+    got = pa.schema([("chunk_id", pa.int64()), ("semantic_score", pa.float64()), ("keyword_score", pa.float64())]).empty_table()
     if query.strip():
         vectors, within = index.vectors, None
         if prefilter and vaults is not None:
@@ -194,18 +194,17 @@ def search(
             vectors = vectors.join(within, "chunk_id", "left_semi")
         semantic = vector_topk(vectors, query_vector, CHANNEL * limit, unique=True)
         keyword = bm25_topk(index.text, [words or query], CHANNEL * limit, within).select("chunk_id", "score")
-        got = candidates(semantic, keyword).collect()
-    ids = [r.chunk_id for r in got]
-    rows = scored(spark.createDataFrame(got, shape), index.chunks.where(any_of("id", ids)), index.files, query, w, rules, as_of, vaults)
+        got = candidates(semantic, keyword).toArrow()
+    ids = got.column("chunk_id").to_pylist()
+    rows = scored(spark.createDataFrame(got), of_ids(index.chunks, "id", ids), index.files, query, w, rules, as_of, vaults)
     short = rows.orderBy(F.desc("final_score"), "chunk_id").limit(MERGED * limit)
     if similar is not None:
-        short = _distinct(short, index.vectors.where(any_of("chunk_id", ids)), similar)
+        short = _distinct(short, of_ids(index.vectors, "chunk_id", ids), similar)
     order = Window.partitionBy(F.lit(0)).orderBy(F.desc("final_score"), "chunk_id")
     top = best_by_file(short).orderBy(F.desc("final_score"), "chunk_id").limit(limit).withColumn("rank", F.row_number().over(order))
-    shown = top.select(*(c for c in RESULT if c != "content"))
-    held = shown.collect()
-    content = index.chunks.where(any_of("id", [r.chunk_id for r in held])).select(F.col("id").alias("chunk_id"), "content")
-    return content.join(F.broadcast(spark.createDataFrame(held, shown.schema)), "chunk_id").select(*RESULT)
+    held = top.select(*(c for c in RESULT if c != "content")).toArrow()
+    content = of_ids(index.chunks, "id", held.column("chunk_id").to_pylist()).select(F.col("id").alias("chunk_id"), "content")
+    return content.join(F.broadcast(spark.createDataFrame(held)), "chunk_id").select(*RESULT)
 
 
 def _distinct(rows: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
